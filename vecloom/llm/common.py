@@ -21,6 +21,7 @@ WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -195,3 +196,26 @@ def batches_by_bytes(batches, column: int, limit: int):
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package as a zip, so that they need no shared installation."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import os
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="vecloom-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "vecloom_ship.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
