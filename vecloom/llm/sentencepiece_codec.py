@@ -31,8 +31,8 @@ SPACE = "▁"
 BATCH_BYTES = 8 << 20
 #: Parts that a worker keeps; beyond, it starts anew.
 CACHE_PARTS, CACHE_CHARS = 600_000, 48
-LETTER = re.compile(r"[^\W\d_]")
-PARTS = re.compile(r"\n| *[^\W\d_]+| *(?:[\d_]|[^\w \n])+| +")
+LETTER = re.compile(r"[^\W\d_¹²³¼½¾]")
+PARTS = re.compile(r"\n| *[^\W\d_¹²³¼½¾]+| *(?:[\d_¹²³¼½¾]|[^\w \n])+| +")
 #: For models with pieces that mix letters with other characters.
 COARSE_PARTS = re.compile(r"\n| *[^ \n]+| +")
 
