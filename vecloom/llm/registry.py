@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .exact_topk import OP1_SQL, op1_exact_topk
+from .language_id import op10_language_id
+from .license_scan import op7_license_scan
 from .sentencepiece_codec import op9_sentencepiece
 
 
 def queries():
     return {
+        "op1_exact_topk": op1_exact_topk,
+        "op7_license_scan": op7_license_scan,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op1_exact_topk": OP1_SQL}
