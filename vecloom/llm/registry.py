@@ -6,11 +6,15 @@ from .exact_topk import OP1_SQL, op1_exact_topk
 from .language_id import op10_language_id
 from .license_scan import op7_license_scan
 from .sentencepiece_codec import op9_sentencepiece
+from .token_binary import op6_token_binary
+from .warc import OP4_SQL, op4_warc
 
 
 def queries():
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op4_warc": op4_warc,
+        "op6_token_binary": op6_token_binary,
         "op7_license_scan": op7_license_scan,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_language_id": op10_language_id,
@@ -18,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op4_warc": OP4_SQL}
