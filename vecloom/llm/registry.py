@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_topk import OP1_SQL, op1_exact_topk
 from .language_id import op10_language_id
 from .license_scan import op7_license_scan
 from .sentencepiece_codec import op9_sentencepiece
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_binary import op6_token_binary
 from .warc import OP4_SQL, op4_warc
 
@@ -13,7 +15,9 @@ from .warc import OP4_SQL, op4_warc
 def queries():
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op2_decontaminate": op2_decontaminate,
         "op4_warc": op4_warc,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_token_binary": op6_token_binary,
         "op7_license_scan": op7_license_scan,
         "op9_sentencepiece": op9_sentencepiece,
@@ -22,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_topk": OP1_SQL, "op4_warc": OP4_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL}
