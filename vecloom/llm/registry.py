@@ -7,6 +7,7 @@ from .exact_topk import OP1_SQL, op1_exact_topk
 from .language_id import op10_language_id
 from .license_scan import op7_license_scan
 from .sentencepiece_codec import op9_sentencepiece
+from .simhash_dedup import op3_simhash_dedup
 from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_binary import op6_token_binary
 from .warc import OP4_SQL, op4_warc
@@ -16,6 +17,7 @@ def queries():
     return {
         "op1_exact_topk": op1_exact_topk,
         "op2_decontaminate": op2_decontaminate,
+        "op3_simhash_dedup": op3_simhash_dedup,
         "op4_warc": op4_warc,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_token_binary": op6_token_binary,
