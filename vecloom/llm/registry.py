@@ -6,6 +6,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_topk import OP1_SQL, op1_exact_topk
 from .language_id import op10_language_id
 from .license_scan import op7_license_scan
+from .ngram_lm import op8_deleted_interpolation
 from .sentencepiece_codec import op9_sentencepiece
 from .simhash_dedup import op3_simhash_dedup
 from .substring_dedup import OP5_SQL, op5_substring_dedup
@@ -22,6 +23,7 @@ def queries():
         "op5_substring_dedup": op5_substring_dedup,
         "op6_token_binary": op6_token_binary,
         "op7_license_scan": op7_license_scan,
+        "op8_deleted_interpolation": op8_deleted_interpolation,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_language_id": op10_language_id,
     }
