@@ -2,17 +2,530 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
+from ..operators import ann, fusion, mutations, quantize, rerank, search, sparse, text
+from ..sources.shipping import ship
+from .where import apply_where
+
+R9 = "round({}, 9)"
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def probe(df: DataFrame, i: int = 0) -> list[float]:
+    """The query vector: that of one id."""
+    return [float(x) for x in df.where(F.col("id") == i).select("vector").first()[0]]
+
+
+def shown(df: DataFrame, id_: str = "id", name: str = "vec_id") -> DataFrame:
+    return df.select(F.col(id_).alias(name), (F.round("score", 6) + 0.0).alias("score"))
+
+
+# Metrics need vectors of their domain: masses are made of absolute values, bits of signs, places of two scaled components.
+MASS, BITS = {"hellinger", "wasserstein", "jensen_shannon"}, {"hamming", "jaccard", "tanimoto", "dice"}
+
+
+def domain(df: DataFrame, metric: str) -> DataFrame:
+    if metric in MASS:
+        return df.withColumn("vector", F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    if metric in BITS:
+        return df.withColumn("vector", F.transform("vector", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
+    if metric == "haversine":
+        return df.withColumn("vector", F.array(F.get("vector", F.lit(0)).cast("double") * 180, F.get("vector", F.lit(1)).cast("double") * 90))
+    return df
+
+
+def topk_query(metric: str):
+    def run(spark, d):
+        df = domain(vectors(spark, d), metric)
+        return shown(search.topk(df, probe(df), 10, metric))
+
+    return run
+
+
+def _source(metric: str) -> str:
+    if metric in MASS:
+        f = "abs(CAST(x AS DOUBLE))"
+    elif metric in BITS:
+        f = "CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    else:
+        f = "CAST(x AS DOUBLE)"
+    if metric == "haversine":
+        return "SELECT vec_id, label, [CAST(embedding[1] AS DOUBLE) * 180, CAST(embedding[2] AS DOUBLE) * 90] AS v FROM embeddings"
+    return f"SELECT vec_id, label, list_transform(embedding, lambda x: {f}) AS v FROM embeddings"
+
+
+BOTH, EITHER = "sum(CASE WHEN a > 0.5 AND b > 0.5 THEN 1 ELSE 0 END)", "sum(CASE WHEN a > 0.5 OR b > 0.5 THEN 1 ELSE 0 END)"
+EACH = "sum((CASE WHEN a > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN b > 0.5 THEN 1 ELSE 0 END))"
+OVERLAP = f"CASE WHEN {EITHER} = 0 THEN 0 ELSE 1 - {BOTH} * 1.0::DOUBLE / {EITHER} END"
+SCORES = {
+    "ip": "sum(a * b)",
+    "l2": "sum((a - b) * (a - b))",
+    "cosine": "CASE WHEN sqrt(sum(a * a) * sum(b * b)) < 1e-30 THEN 1 ELSE 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) END",
+    "hamming": "sum(CASE WHEN (a > 0.5) <> (b > 0.5) THEN 1.0::DOUBLE ELSE 0 END)",
+    "jaccard": OVERLAP,
+    "tanimoto": OVERLAP,
+    "l1": "sum(abs(a - b))",
+    "correlation": "1 - corr(a, b)",
+    "hellinger": "sqrt(1 - least(greatest(sum(sqrt(a * b)) / sqrt(sum(a) * sum(b)), 0), 1))",
+    "dice": f"CASE WHEN {EACH} = 0 THEN 0 ELSE 1 - 2.0::DOUBLE * {BOTH} / {EACH} END",
+    "chebyshev": "max(abs(a - b))",
+    "canberra": "sum(CASE WHEN abs(a) + abs(b) = 0 THEN 0 ELSE abs(a - b) / (abs(a) + abs(b)) END)",
+    "bray_curtis": "sum(abs(a - b)) / sum(abs(a + b))",
+}
+
+
+def pairs_sql(metric: str) -> str:
+    """CTEs up to scored(vec_id, label, score), against the vector of vec_id 0."""
+    head = f"WITH s AS ({_source(metric)}), q AS (SELECT v AS b FROM s WHERE vec_id = 0)"
+    if metric == "haversine":
+        return head + """, scored AS (SELECT vec_id, label, 2 * 6371008.8 * asin(sqrt(least(greatest(
+            pow(sin((radians(b[2]) - radians(v[2])) / 2), 2) + cos(radians(v[2])) * cos(radians(b[2])) * pow(sin((radians(b[1]) - radians(v[1])) / 2), 2), 0), 1))) AS score FROM s, q)"""
+    p = head + ", p AS (SELECT vec_id, label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS a, unnest(b) AS b FROM s, q)"
+    if metric == "wasserstein":
+        return p + """, m AS (SELECT *, sum(a) OVER (PARTITION BY vec_id) AS sa, sum(b) OVER (PARTITION BY vec_id) AS sb, max(i) OVER (PARTITION BY vec_id) AS n FROM p),
+          c AS (SELECT vec_id, label, i, n, sum(a / sa - b / sb) OVER (PARTITION BY vec_id ORDER BY i) AS cdf FROM m),
+          scored AS (SELECT vec_id, label, coalesce(sum(abs(cdf)) FILTER (i < n), 0) AS score FROM c GROUP BY vec_id, label)"""
+    if metric == "jensen_shannon":
+        return p + """, m AS (SELECT vec_id, label, a / sum(a) OVER (PARTITION BY vec_id) AS x, b / sum(b) OVER (PARTITION BY vec_id) AS y FROM p),
+          scored AS (SELECT vec_id, label, sqrt(greatest(sum((CASE WHEN x > 0 THEN 0.5 * x * ln(x / ((x + y) / 2)) ELSE 0 END) + (CASE WHEN y > 0 THEN 0.5 * y * ln(y / ((x + y) / 2)) ELSE 0 END)), 0)) AS score FROM m GROUP BY vec_id, label)"""
+    return p + f", scored AS (SELECT vec_id, label, {SCORES[metric]} AS score FROM p GROUP BY vec_id, label)"
+
+
+def order_sql(metric: str) -> str:
+    return f"round(score, 9) {'DESC' if metric == 'ip' else 'ASC'}, vec_id"
+
+
+def topk_sql(metric: str, where: str = "TRUE", k: int = 10, score: str = "round(score, 6) + 0.0") -> str:
+    return f"{pairs_sql(metric)} SELECT vec_id, {score} AS score FROM scored WHERE {where} ORDER BY {order_sql(metric)} LIMIT {k}"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The inner-product top ten with the label of the query's own row, labels joined late."""
+    df = vectors(spark, d)
+    label = df.where("id = 0").first().label
+    return search.topk(df, probe(df), 10, "ip", f'"label" = {label}', fields=["label"]).select(F.col("id").alias("vec_id"), (F.round("score", 6) + 0.0).alias("score"), "label")
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+
+def q_filtered(spark, d):
+    df = vectors(spark, d)
+    return shown(search.topk(df, probe(df), 10, "ip", '"label" = 3'))
+
+
+def q_where_and(spark, d):
+    df = vectors(spark, d)
+    return shown(search.topk(df, probe(df), 10, "l2", '"label" >= 2 AND "label" < 6'))
+
+
+def q_where_in(spark, d):
+    df = vectors(spark, d)
+    return shown(search.topk(df, probe(df), 10, "cosine", "label IN (1, 4, 7)"))
+
+
+def q_batch(where: str | None = None):
+    def run(spark, d):
+        df = vectors(spark, d)
+        queries = df.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        return search.batch_topk(df, queries, 10, "ip", where).select("query_id", "rank", F.col("id").alias("vec_id"), (F.round("score", 6) + 0.0).alias("score"))
+
+    return run
+
+
+def batch_sql(where: str = "TRUE") -> str:
+    return f"""WITH s AS ({_source('ip')}), p AS (
+        SELECT q.vec_id AS query_id, s.vec_id, unnest(s.v) AS a, unnest(q.v) AS b FROM s, s q WHERE q.vec_id < 5 AND s.{where if where != 'TRUE' else 'vec_id IS NOT NULL'}
+    ), g AS (SELECT query_id, vec_id, sum(a * b) AS score FROM p GROUP BY query_id, vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM g)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10"""
+
+
+def q_range(metric: str, threshold: float, most: int = 1000):
+    def run(spark, d):
+        df = vectors(spark, d)
+        return shown(search.range_search(df, probe(df), threshold, metric, most))
+
+    return run
+
+
+def q_segments(spark, d):
+    """Four segments searched on their own and merged."""
+    df = vectors(spark, d)
+    q = probe(df)
+    return shown(search.merge_topk([search.topk(df.where(F.pmod("id", F.lit(4)) == s), q, 10, "l2") for s in range(4)], 10, "l2"))
+
+
+def deleted_ids(df: DataFrame) -> DataFrame:
+    return df.where(F.pmod("id", F.lit(7)) == 0).select("id")
+
+
+def q_tombstones(spark, d):
+    df = vectors(spark, d)
+    return shown(search.topk(df, probe(df), 10, "ip", deleted=deleted_ids(df)))
+
+
+def q_named(spark, d):
+    """A second vector field, joined by id: the reversed vector."""
+    df = vectors(spark, d)
+    side = df.select("id", F.reverse("vector").alias("vector"))
+    return shown(search.topk(df.drop("vector").join(side, "id"), probe(df), 10, "l2"))
+
+
+def q_merge_best(spark, d):
+    """Overlapping parts: an id counts once with its best score."""
+    df = vectors(spark, d)
+    q = probe(df)
+    parts = [search.topk(df, q, 20, "l2"), search.topk(df.where("label < 5"), q, 20, "l2").withColumn("score", F.col("score") + 1)]
+    return shown(search.merge_topk(parts, 15, "l2"))
+
+
+def q_approx(spark, d):
+    df = vectors(spark, d)
+    return shown(search.approx_rounded(df, probe(df), 10, "l2", 0.01))
+
+
+def q_filter_ids(spark, d):
+    df = vectors(spark, d)
+    return search.query(df, filter_ids=df.where("label = 2").select("id")).select(F.col("id").alias("vec_id"), "label")
+
+
+def q_empty(spark, d):
+    return search.query(vectors(spark, d)).select(F.col("id").alias("vec_id"), "label")
+
+
+def q_vectors(spark, d):
+    return search.query(vectors(spark, d), '"label" = 1').select(F.col("id").alias("vec_id"), (F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6) + 0.0).alias("total"), F.size("vector").cast("bigint").alias("dim"))
+
+
+def q_head(spark, d):
+    return search.head(read(spark, d, "documents"), 10, "doc_id").select("doc_id", "lang", "source")
+
+
+def q_tail(spark, d):
+    return search.tail(read(spark, d, "documents"), 10, "doc_id").select("doc_id", "lang", "source")
+
+
+def q_stats(spark, d):
+    df = vectors(spark, d)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.max("id").alias("max_id"), F.max(F.size("vector")).cast("bigint").alias("dim"), F.count(F.when(F.pmod("id", F.lit(7)) == 0, 1)).alias("n_deleted"))
+
+
+# --- filters ----------------------------------------------------------------------------------------------------------
+
+
+def q_where(table: str, text_: str, columns: list[str], prepare=None):
+    def run(spark, d):
+        df = read(spark, d, table)
+        return apply_where(prepare(df) if prepare else df, text_).select(*columns)
+
+    return run
+
+
+def event_dates(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def doc_tags(df: DataFrame) -> DataFrame:
+    return df.withColumn("tags", F.array("lang", "source")).withColumn("long", F.col("n_chars") > 2000)
+
+
+EVENTS_DAY = "(SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events)"
+DOC_TAGS = "(SELECT *, [lang, source] AS tags, n_chars > 2000 AS long FROM documents)"
+DOC_COLUMNS = ["doc_id", "lang", "source"]
+WHERE = {
+    "where_eq": ("documents", "lang = 'de'", DOC_COLUMNS, None, "documents", "lang = 'de'"),
+    "where_range": ("orders", '"o_totalprice" >= 1000 AND "o_totalprice" < 50000', ["o_orderkey", "o_orderstatus"], None, "orders", "o_totalprice >= 1000 AND o_totalprice < 50000"),
+    "where_in": ("documents", '"lang" in ("fr", "es")', DOC_COLUMNS, None, "documents", "lang IN ('fr', 'es')"),
+    "where_or": ("documents", "lang = 'fr' OR source = 'src3'", DOC_COLUMNS, None, "documents", "lang = 'fr' OR source = 'src3'"),
+    "where_and": ("documents", "lang = 'en' AND source = 'src3'", DOC_COLUMNS, None, "documents", "lang = 'en' AND source = 'src3'"),
+    "where_contains": ("documents", "\"tags\" CONTAINS 'de'", DOC_COLUMNS, doc_tags, DOC_TAGS, "list_contains(tags, 'de')"),
+    "where_bool": ("documents", '"long" = true', DOC_COLUMNS, doc_tags, DOC_TAGS, "long"),
+    "where_date_string": ("events", "\"day\" >= '2024-01-03' AND \"day\" <= '2024-01-20'", ["event_id", "event_type"], event_dates, EVENTS_DAY, "day >= '2024-01-03' AND day <= '2024-01-20'"),
+    "where_quoted": ("documents", '`lang` = "es"', DOC_COLUMNS, None, "documents", "lang = 'es'"),
+    "where_mixed_parens": ("documents", "(lang = 'de' OR lang = 'fr') AND NOT (source LIKE 'src1%') AND n_chars != 416", DOC_COLUMNS, None, "documents", "(lang = 'de' OR lang = 'fr') AND NOT (source LIKE 'src1%') AND n_chars <> 416"),
+}
+
+# --- text, sparse, hybrid ---------------------------------------------------------------------------------------------
+
+TERMS = "the de la tokenless edition the"
+
+
+def docs_of(spark, d):
+    return read(spark, d, "documents").withColumnRenamed("doc_id", "id")
+
+
+def q_tokens(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
+
+
+def q_postings(spark, d):
+    return text.postings(docs_of(spark, d), ["text"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+
+
+def q_bm25(**kw):
+    def run(spark, d):
+        return shown(text.bm25(docs_of(spark, d), TERMS, 10, **kw), name="doc_id")
+
+    return run
+
+
+def q_bm25_fields(spark, d):
+    df = read(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return shown(text.bm25(df, "user the assistant of", 10, ["role", "text"]), name="turn_id")
+
+
+def toks_sql(col: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({col}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def bm25_sql(terms: str, rows: str, id_: str, limit: int = 10, seeding: str = "all", order: str = "") -> str:
+    """rows: SQL of (id, toks)."""
+    counts: dict[str, int] = {}
+    for t in terms.lower().split():
+        counts[t] = counts.get(t, 0) + 1
+    values = ", ".join(f"('{t}', {n})" for t, n in counts.items())
+    seed = "TRUE" if seeding == "all" else f"id IN (SELECT id FROM h JOIN f USING (term), st WHERE (f.df < n AND f.df <= greatest(4 * (SELECT min(df) FROM f), {8 * limit})) OR NOT EXISTS (SELECT 1 FROM f, st WHERE f.df < n AND f.df <= greatest(4 * (SELECT min(df) FROM f), {8 * limit})))"
+    return f"""WITH r AS (SELECT id, toks, len(toks) AS dl FROM ({rows}) WHERE len(toks) > 0),
+      st AS (SELECT count(*) AS n, greatest(sum(dl) * 1.0::DOUBLE / count(*), 1.0) AS avgdl FROM r),
+      qt(term, qtf) AS (VALUES {values}),
+      h AS (SELECT id, dl, term, qtf, len(list_filter(toks, lambda x: x = term)) AS tf FROM r, qt),
+      f AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term),
+      g AS (SELECT id, sum(qtf * ln((n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+            FROM (SELECT * FROM h WHERE tf > 0) h JOIN f USING (term), st WHERE {seed.replace('FROM h JOIN', 'FROM (SELECT * FROM h WHERE tf > 0) h JOIN')} GROUP BY id)
+      SELECT id AS {id_}, round(score, 6) + 0.0 AS score FROM g WHERE score > 0 ORDER BY round(score, 9) DESC, id LIMIT {limit}"""
+
+
+DOC_ROWS = f"SELECT doc_id AS id, {toks_sql('text')} AS toks FROM documents"
+TURN_ROWS = f"SELECT conv_id * 1000 + turn AS id, list_concat({toks_sql('role')}, {toks_sql('text')}) AS toks FROM conversations"
+
+
+def sparse_rows(spark, d) -> DataFrame:
+    """user -> (hour of day, summed value)."""
+    return sparse.normalise(read(spark, d, "events").select(F.col("user_id").alias("id"), F.hour("ts").alias("idx"), F.col("value").alias("val")))
+
+
+SPARSE_Q = {0: 1.0, 5: 0.5, 12: 2.0, 23: -1.0}
+SPARSE_SQL = "SELECT user_id AS id, CAST(hour(ts) AS INTEGER) AS idx, sum(value) AS val FROM events GROUP BY 1, 2 HAVING sum(value) <> 0"
+
+
+def q_sparse_normalise(spark, d):
+    return sparse_rows(spark, d).select(F.col("id").alias("user_id"), "idx", (F.round("val", 4) + 0.0).alias("val"))
+
+
+def q_sparse(filtered: bool):
+    def run(spark, d):
+        rows = sparse_rows(spark, d)
+        allowed = read(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("id")) if filtered else None
+        return sparse.sparse_topk(rows, SPARSE_Q, 10, allowed).select(F.col("id").alias("user_id"), (F.round("score", 4) + 0.0).alias("score"))
+
+    return run
+
+
+def sparse_sql(where: str) -> str:
+    values = ", ".join(f"({i}, {v}::DOUBLE)" for i, v in SPARSE_Q.items())
+    return f"WITH v AS ({SPARSE_SQL}), q(idx, w) AS (VALUES {values}), g AS (SELECT id, sum(w * val) AS score FROM v JOIN q USING (idx) WHERE {where} GROUP BY id) SELECT id AS user_id, round(score, 4) + 0.0 AS score FROM g WHERE score <> 0 ORDER BY round(score, 9) DESC, id LIMIT 10"
+
+
+def q_hybrid(how: str):
+    def run(spark, d):
+        df = vectors(spark, d)
+        dense = search.topk(df, probe(df), 40, "l2")
+        words = text.bm25(docs_of(spark, d), TERMS, 40)
+        return shown(fusion.fuse([(dense, 1.0, True), (words, 0.7, False)], 10, how), name="doc_id")
+
+    return run
+
+
+def hybrid_sql(how: str) -> str:
+    dense = topk_sql("l2", k=40, score="score")
+    words = bm25_sql(TERMS, DOC_ROWS, "vec_id", 40).replace("round(score, 6) + 0.0 AS score", "score")
+    if how == "rrf":
+        part = lambda t, w, o: f"SELECT vec_id, {w}::DOUBLE / (60 + row_number() OVER (ORDER BY round(score, 9) {o}, vec_id)) AS part FROM {t}"
+    else:
+        part = lambda t, w, o: f"SELECT vec_id, {w}::DOUBLE * ({'1 - ' if o == 'ASC' else ''}(score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ())) AS part FROM {t}"
+    return f"SELECT vec_id AS doc_id, round(s, 6) + 0.0 AS score FROM (SELECT vec_id, sum(part) AS s FROM ({part(f'({dense})', 1.0, 'ASC')} UNION ALL {part(f'({words})', 0.7, 'DESC')}) GROUP BY vec_id) ORDER BY round(s, 9) DESC, vec_id LIMIT 10"
+
+
+# --- codecs and indexes -----------------------------------------------------------------------------------------------
+
+
+def q_sq8(rounding: bool):
+    def run(spark, d):
+        df = vectors(spark, d)
+        lo, hi = quantize.bounds(df)
+        return df.select(F.col("id").alias("vec_id"), F.array_join(quantize.sq8_encode(F.col("vector"), lo, hi, rounding).cast("array<string>"), ",").alias("codes"))
+
+    return run
+
+
+def q_sq8_decode(spark, d):
+    df = vectors(spark, d)
+    lo, hi = quantize.bounds(df)
+    back = quantize.sq8_decode(quantize.sq8_encode(F.col("vector"), lo, hi), lo, hi)
+    return df.select(F.col("id").alias("vec_id"), (F.round(M.distance("l1", F.col("vector"), back), 6) + 0.0).alias("error"))
+
+
+SQ8_ROWS = """WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  b AS (SELECT i, min(v) AS lo, CASE WHEN max(v) > min(v) THEN (max(v) - min(v)) / 255 ELSE 1 END AS scale FROM x GROUP BY i),
+  c AS (SELECT vec_id, i, v, lo, scale, least(greatest({f}((v - lo) / scale), 0), 255) AS code FROM x JOIN b USING (i))"""
+
+
+def q_sq8_search(spark, d):
+    df = vectors(spark, d)
+    return shown(quantize.sq8_two_pass(df, probe(df), 10, "l2"))
+
+
+def q_binary(spark, d):
+    df = vectors(spark, d)
+    t = quantize.binary_thresholds(df, 64)
+    bits = F.transform(quantize.binary_encode(F.col("vector"), t), lambda b: F.when(b, "1").otherwise("0"))
+    return df.select(F.col("id").alias("vec_id"), F.array_join(bits, "").alias("bits"))
+
+
+def q_packed(spark, d):
+    df = vectors(spark, d)
+    q = df.where("id = 0").select(M.pack_bits(F.col("vector"), 64, 0.0).alias("q"))
+    return df.crossJoin(F.broadcast(q)).select(F.col("id").alias("vec_id"), M.packed_hamming(M.pack_bits(F.col("vector"), 64, 0.0), F.col("q")).alias("distance"))
+
+
+def index_path(spark, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom-index"
+    return f"{root.rstrip('/')}/vecloom-{name}-{uuid.uuid4().hex}"
+
+
+def q_cells(nprobe: int, replicas: int):
+    def run(spark, d):
+        df = vectors(spark, d)
+        index = ann.Cells.build(df, index_path(spark, "cells"), "l2", 16, replicas)
+        return shown(index.search(spark, probe(df), 10, nprobe))
+
+    return run
+
+
+def q_codec(codec: str):
+    def run(spark, d):
+        df = vectors(spark, d)
+        return shown(quantize.two_pass(df, probe(df), 10, "l2", codec))
+
+    return run
+
+
+def q_mode(mode: str):
+    def run(spark, d):
+        df = vectors(spark, d)
+        return shown(ann.search_mode(df, mode, probe(df), 10, index_path(spark, "mode"), n_cells=16, nprobe=16))
+
+    return run
+
+
+# --- changes ----------------------------------------------------------------------------------------------------------
+
+
+def q_upsert_latest(spark, d):
+    """The last event of each user."""
+    ev = read(spark, d, "events").select("user_id", "event_id", "event_type")
+    return mutations.latest(ev, "user_id", "event_id")
+
+
+def q_upsert(spark, d):
+    base = vectors(spark, d).select("id", "label")
+    change = base.where(F.pmod("id", F.lit(3)) == 0).select("id", (F.col("label") + 100).alias("label")).union(base.select((F.col("id") + 1_000_000).alias("id"), "label"))
+    return mutations.upsert(base, change).select(F.col("id").alias("vec_id"), "label")
+
+
+def q_deleted(spark, d):
+    df = vectors(spark, d)
+    none = df.select("id").limit(0)
+    return mutations.delete(none, df.where("label = 4").select("id"), df).select(F.col("id").alias("vec_id"))
+
+
+def q_restore(spark, d):
+    df = vectors(spark, d)
+    gone = mutations.delete(df.select("id").limit(0), df.where("label = 4").select("id"), df)
+    return mutations.restore(gone, df.where(F.pmod("id", F.lit(2)) == 0)).select(F.col("id").alias("vec_id"))
+
+
+def q_compact(spark, d):
+    df = vectors(spark, d)
+    return mutations.compact(df, deleted_ids(df)).select(F.col("id").alias("vec_id"), "label")
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label").orderBy("vec_id").limit(10)
+def q_rerank(spark, d):
+    """Top ten reordered by label, largest first."""
+    df = vectors(spark, d)
+    top = search.topk(df, probe(df), 10, "l2", fields=["label"])
+    out = rerank.rerank(top, None, lambda x: [(i["id"], float(i["field"]["label"])) for i in x["items"]], 10)
+    return out.select(F.col("id").alias("vec_id"), "rank", "label")
 
 
 def queries():
-    return {}
+    out = {f"topk_{m}": topk_query(m) for m in M.METRICS}
+    out |= {"flagship": flagship, "topk_ip_filtered": q_filtered, "topk_l2_where_and": q_where_and, "topk_cos_where_in": q_where_in, "batch_topk_ip": q_batch(), "batch_topk_filtered": q_batch('"label" = 3')}
+    out |= {"range_l2": q_range("l2", 1.6), "range_ip": q_range("ip", 0.2), "range_capped": q_range("l2", 4.0, 7), "segment_merge_topk": q_segments, "merge_best": q_merge_best, "tombstone_topk": q_tombstones, "named_vector_topk": q_named, "approx_rounded": q_approx}
+    out |= {k: q_where(t, w, c, p) for k, (t, w, c, p, _, _) in WHERE.items()}
+    out |= {"query_filter_ids": q_filter_ids, "query_empty": q_empty, "query_vectors": q_vectors, "head": q_head, "tail": q_tail, "stats": q_stats}
+    out |= {"tokenize_counts": q_tokens, "postings": q_postings, "bm25_all": q_bm25(), "bm25_where": q_bm25(where="lang = 'fr'"), "bm25_selective": q_bm25(seeding="selective"), "bm25_multi_field": q_bm25_fields}
+    out |= {"sparse_normalise": q_sparse_normalise, "sparse_topk": q_sparse(False), "sparse_filtered": q_sparse(True), "hybrid_rrf": q_hybrid("rrf"), "hybrid_weighted": q_hybrid("weighted")}
+    out |= {"sq8_encode": q_sq8(False), "sq8_encode_flat": q_sq8(True), "sq8_decode": q_sq8_decode, "sq8_two_pass": q_sq8_search, "binary_encode": q_binary, "packed_hamming": q_packed}
+    out |= {"ivf_topk_full_probe": q_cells(16, 0), "spann_topk_full_probe": q_cells(16, 1), "ivf_topk_nprobe": q_cells(6, 0), "spann_topk_nprobe": q_cells(6, 1)}
+    out |= {"pq_two_pass": q_codec("pq8"), "rabitq_two_pass": q_codec("rabitq"), "polarvec_two_pass": q_codec("polarvec4"), "mode_flat_l2": q_mode("FLAT-L2"), "mode_hnsw_l2": q_mode("hnsw-l2"), "mode_diskann_l2": q_mode("DISKANN-L2")}
+    out |= {"upsert_latest": q_upsert_latest, "upsert": q_upsert, "soft_delete": q_deleted, "restore": q_restore, "compact": q_compact, "rerank_by_field": q_rerank}
+    return out
 
 
 def oracle_sql():
-    return {}
+    l2 = topk_sql("l2")
+    out = {f"topk_{m}": topk_sql(m) for m in M.METRICS}
+    out["flagship"] = f"{pairs_sql('ip')} SELECT vec_id, round(score, 6) + 0.0 AS score, label FROM scored WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY {order_sql('ip')} LIMIT 10"
+    out |= {"topk_ip_filtered": topk_sql("ip", "label = 3"), "topk_l2_where_and": topk_sql("l2", "label >= 2 AND label < 6"), "topk_cos_where_in": topk_sql("cosine", "label IN (1, 4, 7)"), "batch_topk_ip": batch_sql(), "batch_topk_filtered": batch_sql("label = 3")}
+    out |= {"range_l2": topk_sql("l2", "score <= 1.6", 1000), "range_ip": topk_sql("ip", "score >= 0.2", 1000), "range_capped": topk_sql("l2", "score <= 4.0", 7), "segment_merge_topk": l2, "tombstone_topk": topk_sql("ip", "vec_id % 7 <> 0"), "approx_rounded": topk_sql("l2", score="round(round(score / 0.01) * 0.01, 6) + 0.0")}
+    out["merge_best"] = topk_sql("l2", k=15)
+    out["named_vector_topk"] = l2.replace(f"WITH s AS ({_source('l2')}), q AS (SELECT v AS b FROM s WHERE vec_id = 0)", f"WITH o AS ({_source('l2')}), s AS (SELECT vec_id, label, list_reverse(v) AS v FROM o), q AS (SELECT v AS b FROM o WHERE vec_id = 0)")
+    out |= {k: f"SELECT {', '.join(c)} FROM {t} WHERE {w}" for k, (_, _, c, _, t, w) in WHERE.items()}
+    out |= {
+        "query_filter_ids": "SELECT vec_id, label FROM embeddings WHERE label = 2",
+        "query_empty": "SELECT vec_id, label FROM embeddings WHERE FALSE",
+        "query_vectors": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS total, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings WHERE label = 1",
+        "head": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 10",
+        "tail": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id DESC LIMIT 10",
+        "stats": "SELECT count(*) AS n_rows, max(vec_id) AS max_id, CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) FILTER (vec_id % 7 = 0) AS n_deleted FROM embeddings",
+        "tokenize_counts": f"SELECT doc_id, CAST(len({toks_sql('text')}) AS BIGINT) AS n_tokens FROM documents",
+        "postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({toks_sql('text')}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 20",
+        "bm25_all": bm25_sql(TERMS, DOC_ROWS, "doc_id"),
+        "bm25_where": bm25_sql(TERMS, DOC_ROWS + " WHERE lang = 'fr'", "doc_id"),
+        "bm25_selective": bm25_sql(TERMS, DOC_ROWS, "doc_id", seeding="selective"),
+        "bm25_multi_field": bm25_sql("user the assistant of", TURN_ROWS, "turn_id"),
+        "sparse_normalise": f"SELECT id AS user_id, idx, round(val, 4) + 0.0 AS val FROM ({SPARSE_SQL})",
+        "sparse_topk": sparse_sql("TRUE"),
+        "sparse_filtered": sparse_sql("id IN (SELECT user_id FROM events WHERE event_type = 'click')"),
+        "hybrid_rrf": hybrid_sql("rrf"),
+        "hybrid_weighted": hybrid_sql("weighted"),
+        "sq8_encode": SQ8_ROWS.format(f="floor") + " SELECT vec_id, string_agg(CAST(CAST(code AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS codes FROM c GROUP BY vec_id",
+        "sq8_encode_flat": SQ8_ROWS.format(f="round") + " SELECT vec_id, string_agg(CAST(CAST(code AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS codes FROM c GROUP BY vec_id",
+        "sq8_decode": SQ8_ROWS.format(f="floor") + " SELECT vec_id, round(sum(abs(v - (code * scale + lo))), 6) + 0.0 AS error FROM c GROUP BY vec_id",
+        "sq8_two_pass": l2,
+        "binary_encode": "WITH x AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings), m AS (SELECT i, list_sort(list(v))[count(*) // 2 + 1] AS t FROM x GROUP BY i) SELECT vec_id, string_agg(CASE WHEN v > t THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM x JOIN m USING (i) GROUP BY vec_id",
+        "packed_hamming": "WITH p AS (SELECT e.vec_id, unnest(e.embedding) AS a, unnest(q.embedding) AS b FROM embeddings e, embeddings q WHERE q.vec_id = 0) SELECT vec_id, CAST(sum(CASE WHEN (a > 0) <> (b > 0) THEN 1 ELSE 0 END) AS BIGINT) AS distance FROM p GROUP BY vec_id",
+        "ivf_topk_full_probe": l2, "spann_topk_full_probe": l2, "mode_flat_l2": l2, "mode_hnsw_l2": l2, "mode_diskann_l2": l2,
+        "upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
+        "upsert": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings",
+        "soft_delete": "SELECT vec_id FROM embeddings WHERE label = 4",
+        "restore": "SELECT vec_id FROM embeddings WHERE label = 4 AND vec_id % 2 <> 0",
+        "compact": "SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0",
+        "rerank_by_field": f"SELECT vec_id, CAST(row_number() OVER (ORDER BY label DESC, rs, vec_id) AS INTEGER) AS rank, label FROM (SELECT vec_id, label, round(score, 9) AS rs FROM ({pairs_sql('l2')} SELECT * FROM scored ORDER BY {order_sql('l2')} LIMIT 10))",
+    }
+    return out
