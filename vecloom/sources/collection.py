@@ -10,6 +10,8 @@ import json
 import re
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,12 +230,9 @@ def blob_range(blobs: DataFrame, key: str, start: int, size: int) -> DataFrame:
 
 def embed_documents(docs: DataFrame, embed, text: str = "text", vec: str = "vector") -> DataFrame:
     """Adds vectors by a callable from a list of texts to a 2-D array, a batch at a time."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        import numpy as np
-
         got = np.asarray(embed(texts.fillna("").tolist()), np.float32)
         if got.ndim != 2 or len(got) != len(texts):
             raise ValueError("the embedding doesn't give a row for each text")
