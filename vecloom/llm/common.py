@@ -48,9 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and it survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
-    # Shuffle files of the finished write go once the driver's handles on them are collected; disks are small against long jobs.
-    spark.sparkContext._jvm.System.gc()
+    # Shuffle files go with the end of the write: what comes after reads the table, also if executors are lost.
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
