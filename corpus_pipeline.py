@@ -9,26 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm.common import ship, stored, table
+from vecloom.llm.common import prepare, stored, table
 from vecloom.llm.sentencepiece_codec import encode_documents
 from vecloom.llm.stages import cut_benchmark, cut_repeats, drop_near_duplicates, keep_identified
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that have letters and one main language."""
-    ship(spark)
+    prepare(spark)
     return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    ship(spark)
+    prepare(spark)
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows of 35 words that occur elsewhere."""
-    ship(spark)
+    prepare(spark)
     return cut_repeats(docs)
 
 
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    ship(spark)
+    prepare(spark)
     return encode_documents(docs)
 
 

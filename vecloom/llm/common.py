@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,11 +24,48 @@ BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
+_MEMO: dict[str, object] = {}
+
+
+def memo(name: str, build):
+    """What an operator keeps in a Python worker between tasks; only the last operator's is kept, as workers outlive stages."""
+    if name not in _MEMO:
+        release()
+        _MEMO[name] = build()
+    return _MEMO[name]
+
+
+def release() -> None:
+    """Drops what earlier operators kept in this worker and gives the freed memory back to the system."""
+    _MEMO.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back; a worker that waits for its next task holds little then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+#: Bytes of an Arrow batch between the JVM and a worker, against 64 MB by default: texts are long, and both sides hold batches.
+ARROW_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and keeps Arrow batches small if the session doesn't say otherwise."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1b").rstrip("b") == str(64 << 20):
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, where it is unset (tests), an own one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -205,3 +244,5 @@ def batches_by_bytes(batches, column: int, limit: int):
             b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+        del batch
+    trim()

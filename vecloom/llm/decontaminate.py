@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WORDS, batches_by_bytes, table, texts_of
+from .common import LOWER_WORDS, batches_by_bytes, release, table, texts_of
 from .fm_index import FMIndex
 
 WINDOW = 8
@@ -94,6 +94,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, kin
     box = docs.sparkSession.sparkContext.broadcast(items)  # PART_BYTES at most, but for a single longer item
 
     def run(batches):
+        release()
         windows = Windows(box.value, window)
         get = windows.symbols.get
 

@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, table
+from .common import batches_by_bytes, memo, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Labelled documents to fit on, at most, and characters of a gram.
 SAMPLE_DOCS, GRAM = 5_000, 3
 SWITCH = 12.0
-BATCH_BYTES = 8 << 20
-CACHE_WORDS = 400_000
+BATCH_BYTES = 4 << 20
+CACHE_WORDS = 200_000
 #: First code points of script ranges, and their scripts.
 SCRIPTS = [
     (0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"), (0x900, "devanagari"), (0x980, "indic"),
@@ -105,9 +105,6 @@ class ScoreCache(dict):
         return [self.rows[list(map(self.__getitem__, ws))] if ws else self.rows[:0] for ws in texts]
 
 
-_CACHES: dict[str, ScoreCache] = {}
-
-
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fits on at most sample_docs labelled documents, those of the smallest hashed ids, word by word on executors.
 
@@ -198,10 +195,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, doc_id: str
     name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _CACHES:
-            _CACHES.clear()
-            _CACHES[name] = ScoreCache(Model(*box.value))
-        cache = _CACHES[name]
+        cache = memo(name, lambda: ScoreCache(Model(*box.value)))
         own = cache.model
         for batch in batches_by_bytes(batches, 1, BATCH_BYTES):
             texts = [WORD.findall((x or "").lower()) for x in batch.column(1).to_pylist()]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, mix64, stored, table, text_bytes, texts_of, word_hashes, word_spans
+from .common import SPACE_WORDS, U64, mix64, release, stored, table, text_bytes, texts_of, word_hashes, word_spans
 from .language_id import fold
 
 CHUNK_BYTES = 8 << 20
@@ -86,6 +86,7 @@ def asked(buckets: int, groups: int):
     """A chunk's questions: (kind, bucket, chunk, gone, keys, counts), with its own training counts; gone: it is of the deleted part."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        release()
         c = Chunk(t.column("text"))
         chunk = key[0].as_py()
         training = np.repeat(t.column("part").to_numpy() < 2, c.sizes)

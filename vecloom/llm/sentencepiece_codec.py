@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_by_bytes, table
+from .common import batches_by_bytes, memo, table
 
 SPACE = "▁"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Parts that a worker keeps; beyond, it starts anew.
-CACHE_PARTS, CACHE_CHARS = 600_000, 48
+CACHE_PARTS, CACHE_CHARS = 300_000, 48
 LETTER = re.compile(r"[^\W\d_¹²³¼½¾]")
 PARTS = re.compile(r"\n| *[^\W\d_¹²³¼½¾]+| *(?:[\d_¹²³¼½¾]|[^\w \n])+| +")
 #: For models with pieces that mix letters with other characters.
@@ -200,13 +200,8 @@ class PartCache(dict):
         return entry
 
 
-_CACHES: dict[str, PartCache] = {}
-
-
 def part_cache(path: str) -> PartCache:
-    if path not in _CACHES:
-        _CACHES[path] = PartCache(Codec(path))
-    return _CACHES[path]
+    return memo(f"pieces {path}", lambda: PartCache(Codec(path)))
 
 
 def default_model() -> str:

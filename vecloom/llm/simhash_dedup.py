@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WORDS, U64, batches_by_bytes, mix64, stored, table, texts_of, window_hashes, word_hashes, word_spans
+from .common import LOWER_WORDS, U64, batches_by_bytes, mix64, release, stored, table, texts_of, trim, window_hashes, word_hashes, word_spans
 from .components import components
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.95
@@ -28,7 +28,7 @@ BITS, STRIP = 128, 64
 LIST_ROWS = 2048
 #: Lists of a strip that a node is in, on average.
 SPREAD = 3.0
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 BROADCAST_BYTES = 32 << 20
 
 
@@ -82,6 +82,7 @@ def simhash(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        release()
         for batch in batches_by_bytes(batches, 2, CHUNK_BYTES):
             h, offsets = doc_shingles(batch.column(2), shingle)
             size = np.diff(offsets)
@@ -238,6 +239,8 @@ def _search(far: int, with_parts: bool):
             found += one(held)
         if found or empty:
             yield pack(found)
+        held = found = None
+        trim()
 
     def pack(found):
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)

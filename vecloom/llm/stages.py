@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, stored
+from .common import batches_by_bytes, memo, stored
 from .decontaminate import cut_spans, find_contamination
 from .language_id import BATCH_BYTES, SWITCH, WORD, Model, ScoreCache, train, viterbi
 from .simhash_dedup import near_duplicates, small
@@ -38,10 +40,10 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, penalty: float =
     """Documents whose main language labels at least half of their letters; those without letters go."""
     model = train(docs)
     box = docs.sparkSession.sparkContext.broadcast(model.parts())
-    at = docs.columns.index("text")
+    at, name = docs.columns.index("text"), uuid.uuid4().hex
 
     def run(batches):
-        cache = ScoreCache(Model(*box.value))
+        cache = memo(name, lambda: ScoreCache(Model(*box.value)))
         for batch in batches_by_bytes(batches, at, BATCH_BYTES):
             texts = [WORD.findall((x or "").lower()) for x in batch.column(at).to_pylist()]
             keep = []
@@ -63,18 +65,18 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Texts without the words of repeated windows; texts without repeats stay as they are."""
-    rows = with_key(docs).withColumnRenamed(KEY, "k")
-    places = repeated_windows(rows.select("k", F.coalesce("text", F.lit("")).alias("text")), width)
+    rows = with_key(docs)
+    places = repeated_windows(rows.select(F.col(KEY).alias("k"), F.coalesce("text", F.lit("")).alias("text")), width)
     if places is None:
         return docs
 
     def how(batch):
         out = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist()):
             out.append(b" ".join(kept_words(text.encode().split(), runs, width)).decode() if runs else text)
         return pa.array(out, pa.string())
 
-    return changed(attach(rows, places, "left").select(*docs.columns, "runs"), how, docs.columns, docs.schema)
+    return changed(attach(rows, places, "left", KEY, "_runs").select(*docs.columns, "_runs"), how, docs.columns, docs.schema)
 
 
 def cut_benchmark(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:

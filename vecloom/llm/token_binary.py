@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, shared_path, stored, table, text_bytes
+from .common import batches_by_bytes, memo, shared_path, stored, table, text_bytes
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
 SHARD_BYTES = 32 << 20  # of text
@@ -81,13 +81,8 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, ps)) for ps in parts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return memo(f"tokens {path}", lambda: Encoder(path))
 
 
 def default_tokenizer() -> str:
