@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, batches_by_bytes, stored, table, text_bytes, texts_of, window_hashes, word_hashes, word_spans
+from .common import SPACE_WORDS, U64, batches_by_bytes, release, stored, table, text_bytes, texts_of, trim, window_hashes, word_hashes, word_spans
 
 WIDTH, SHORTEST = 35, 9
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_PLACES = 1_000_000
 #: Bytes of a level's places up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -140,6 +140,7 @@ def _places(length: int, before: int | None, width: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], ["bucket", "keys", "hashes", "at"])
 
     def run(batches):
+        release()
         for batch in batches_by_bytes(whole(batches), 1, CHUNK_BYTES):
             out = one(batch.columns)
             if out is not None:
@@ -168,7 +169,10 @@ def _count(table_: pa.Table) -> pa.Table:
     keys, h, at = keys[order], h[order], at[order]
     same = h[1:] == h[:-1]
     repeated = (np.append(False, same) | np.append(same, False)) & (at >= 0)
-    return pa.Table.from_batches([by_document(keys[repeated], at[repeated])])
+    out = by_document(keys[repeated], at[repeated])
+    del keys, h, at, order, same, repeated
+    trim()
+    return pa.Table.from_batches([out])
 
 
 def _known(batches):
@@ -183,10 +187,11 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], ["k", "runs"])
 
 
-def attach(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Documents with their runs; the runs are broadcast if they are small."""
+def attach(docs: DataFrame, places: DataFrame, how: str, key: str = "k", runs: str = "runs") -> DataFrame:
+    """Documents with their runs (columns named key and runs); the runs are broadcast if they are small."""
     size = places.agg(F.coalesce(F.sum(F.octet_length("runs") + 64), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "k", how)
+    places = places.withColumnsRenamed({"k": key, "runs": runs})
+    return docs.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, key, how)
 
 
 def repeated_windows(docs: DataFrame, width: int, shortest: int = SHORTEST) -> DataFrame | None:
