@@ -68,6 +68,20 @@ def test_dense_family_and_empty(spark):
     assert H.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pivot_left_alone(spark):
+    # A's ball takes B; C is near B alone.
+    fp = np.array([[0, 0], [2**30 - 1, 0], [2**60 - 1, 0]], np.uint64)
+    links = [(int(p), int(x)) for a, b in H.pivots(np.array([1, 2, 3]), fp, 35) for p, x in zip(a, b)]
+    assert links == [(1, 2), (3, 2)]
+    rng = random.Random(70)
+    b = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    a = [f"a{rng.randrange(10**6)}" for _ in range(9)] + b[9:]
+    c = b[:-6] + [f"c{rng.randrange(10**6)}" for _ in range(6)]
+    docs = [(i, " ".join(w)) for i, w in enumerate((a, b, c))]
+    got = {r.doc_id: r.class_id for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == classes(docs) == {0: 0, 1: 1, 2: 1}
+
+
 def test_fingerprints():
     h = np.random.default_rng(1).integers(0, 2**64, 5000, np.uint64)
     offsets = np.array([0, 0, 1000, 1001, 5000])

@@ -172,7 +172,8 @@ def distances(f: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def pivots(node: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(pivot, node) links: each node that isn't a pivot to the first pivot near it."""
+    """(pivot, node) links: each node that isn't a pivot to the first pivot near it, a pivot that is left alone to its
+    nearest node, so that every node with a near one is in a link."""
     busy = np.zeros(len(node), bool)
     step = max(1, (1 << 19) // len(node))
     for a in range(0, len(node), step):
@@ -181,11 +182,12 @@ def pivots(node: np.ndarray, fp: np.ndarray, far: int) -> list[tuple[np.ndarray,
     out, free = [], np.ones(len(node), bool)
     while free.any():
         p = int(free.argmax())
-        ball = (distances(fp[p : p + 1], fp)[0] <= far) & free
-        ball[p] = False
+        d = distances(fp[p : p + 1], fp)[0]
+        d[p] = BITS + 1
+        ball = (d <= far) & free
         free &= ~ball
         free[p] = False
-        x = np.flatnonzero(ball)
+        x = np.flatnonzero(ball) if ball.any() else d.argmin(keepdims=True)  # all its near ones are in other balls
         out.append((np.full(len(x), node[p]), node[x]))
     return out
 
