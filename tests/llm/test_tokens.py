@@ -46,3 +46,17 @@ def test_repeated_and_null_ids(spark):
     path = shared_path(spark, "t")
     got = B.read_shards(B.write_shards(df, path), path).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 1, 1] and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_added_tokens_as_by_default(spark):
+    t = Tokenizer.from_file(B.default_tokenizer())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\nb", "日本 <|endoftext|>語", "<|endoftext|", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = shared_path(spark, "t")
+    got = sorted(map(tuple, B.read_shards(B.write_shards(df, path, length=64), path).collect()))
+    start, want = 0, []
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want and want[0][2] == 5

@@ -7,6 +7,7 @@ without a copy; the shard's document ids lie beside it. Files are written under
 the stored manifest names them, so a retried or speculative task leaves no trace in the result.
 
 Byte-level BPE works on pre-tokens one by one, so each distinct pre-token goes through the library once per worker.
+A text that holds an added token of the tokenizer goes through the library whole.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ LATIN_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[{NUMBER}]+| ?[^
 
 
 class Encoder(dict):
-    """pre-token -> its ids as little-endian bytes."""
+    """pre-token -> its ids as little-endian bytes. special: special tokens in a text are found, as by the library's default."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,9 +64,11 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.any_parts = _pattern().findall
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.holds_added = re.compile("|".join(added)).search if added else lambda text: None
 
     def cut(self, text: str) -> list[str]:
         return LATIN_PARTS.findall(text) if LATIN_TEXT.match(text) else self.any_parts(text)
@@ -73,16 +76,19 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_TOKENS:
             self.clear()
-        parts = [self.cut(t) for t in texts]
-        new = list(set().union(*parts) - self.keys())
+        parts = [None if self.holds_added(t) else self.cut(t) for t in texts]
+        new = list(set().union(*(ps for ps in parts if ps is not None)) - self.keys())
         if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self[p] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(self.__getitem__, ps)) for ps in parts]
+            for p, data in zip(new, self.by_library(new)):
+                self[p] = data
+        return [self.by_library([t])[0] if ps is None else b"".join(map(self.__getitem__, ps)) for t, ps in zip(texts, parts)]
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
-    return memo(f"tokens {path}", lambda: Encoder(path))
+    return memo(f"tokens {path}", lambda: Encoder(path, special=True))
 
 
 def default_tokenizer() -> str:
