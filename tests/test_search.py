@@ -68,6 +68,43 @@ def test_cells(vectors, spark, tmp_path):
     assert index.search(spark, q, 10, 1, vectors.where("id < 3").select("id")).count() == 3
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows than any codec's shortlist for ten (2000)."""
+    x = np.random.default_rng(5).normal(size=(4000, 16))
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>").cache()
+
+
+def nearest(x, i):
+    return np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:10].tolist()
+
+
+@pytest.mark.parametrize("replicas", [0, 1])
+def test_default_probe_recall(many, spark, tmp_path, replicas):
+    index = ann.Cells.build(many, str(tmp_path / "cells"), "l2", 16, replicas)
+    x = np.array([r.vector for r in many.orderBy("id").collect()])
+    cells = {}
+    for r in spark.read.parquet(index.path).select("id", "cell").collect():
+        cells.setdefault(r.id, set()).add(r.cell)
+    hits = []
+    for i in range(0, len(x), 50):
+        probed = set(index.probe(x[i]))
+        hits.append([bool(cells[j] & probed) for j in nearest(x, i)])
+    assert len(set(index.probe(x[0]))) < 16 and np.mean(hits) >= 0.9
+    got = {r.id for r in index.search(spark, x[50].tolist(), 10).collect()}
+    assert len(got & set(nearest(x, 50))) == sum(hits[1])
+
+
+@pytest.mark.parametrize("codec", ["sq8", "pq8", "rabitq", "polarvec4"])
+def test_codec_recall_beyond_shortlists(many, codec):
+    x = np.array([r.vector for r in many.orderBy("id").collect()])
+    hit = 0
+    for i in (3, 50, 1700):
+        got = quantize.sq8_two_pass(many, x[i].tolist(), 10, "l2") if codec == "sq8" else quantize.two_pass(many, x[i].tolist(), 10, "l2", codec)
+        hit += len({r.id for r in got.collect()} & set(nearest(x, i)))
+    assert hit / 30 >= 0.9
+
+
 def test_modes():
     assert ann.parse_mode("hnsw-l2-sq8") == ann.Mode("HNSW", "l2", "sq8")
     assert ann.parse_mode("FLAT-IP-PQ16").codec == "pq16"

@@ -407,7 +407,7 @@ def index_path(spark, name: str) -> str:
     return f"{root.rstrip('/')}/vecloom-{name}-{uuid.uuid4().hex}"
 
 
-def q_cells(nprobe: int, replicas: int):
+def q_cells(nprobe: int | None, replicas: int):
     def run(spark, d):
         df = vectors(spark, d)
         index = ann.Cells.build(df, index_path(spark, "cells"), "l2", 16, replicas)
@@ -481,7 +481,7 @@ def queries():
     out |= {"tokenize_counts": q_tokens, "postings": q_postings, "bm25_all": q_bm25(), "bm25_where": q_bm25(where="lang = 'fr'"), "bm25_selective": q_bm25(seeding="selective"), "bm25_multi_field": q_bm25_fields}
     out |= {"sparse_normalise": q_sparse_normalise, "sparse_topk": q_sparse(False), "sparse_filtered": q_sparse(True), "hybrid_rrf": q_hybrid("rrf"), "hybrid_weighted": q_hybrid("weighted")}
     out |= {"sq8_encode": q_sq8(False), "sq8_encode_flat": q_sq8(True), "sq8_decode": q_sq8_decode, "sq8_two_pass": q_sq8_search, "binary_encode": q_binary, "packed_hamming": q_packed}
-    out |= {"ivf_topk_full_probe": q_cells(16, 0), "spann_topk_full_probe": q_cells(16, 1), "ivf_topk_nprobe": q_cells(6, 0), "spann_topk_nprobe": q_cells(6, 1)}
+    out |= {"ivf_topk_full_probe": q_cells(16, 0), "spann_topk_full_probe": q_cells(16, 1), "ivf_topk_nprobe": q_cells(None, 0), "spann_topk_nprobe": q_cells(None, 1)}
     out |= {"pq_two_pass": q_codec("pq8"), "rabitq_two_pass": q_codec("rabitq"), "polarvec_two_pass": q_codec("polarvec4"), "mode_flat_l2": q_mode("FLAT-L2"), "mode_hnsw_l2": q_mode("hnsw-l2"), "mode_diskann_l2": q_mode("DISKANN-L2")}
     out |= {"upsert_latest": q_upsert_latest, "upsert": q_upsert, "soft_delete": q_deleted, "restore": q_restore, "compact": q_compact, "rerank_by_field": q_rerank}
     return out
