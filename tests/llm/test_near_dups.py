@@ -39,6 +39,7 @@ def near(rng, text, edits):
 
 def test_classes_and_recall(spark, monkeypatch):
     monkeypatch.setattr(H, "LIST_ROWS", 64)  # so that the recursion is at work on few rows
+    monkeypatch.setattr(H, "LEAF_ROWS", 32)
     rng = random.Random(4)
     docs = []
     for i in range(120):
@@ -68,18 +69,61 @@ def test_dense_family_and_empty(spark):
     assert H.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_pivot_left_alone(spark):
-    # A's ball takes B; C is near B alone.
+def test_pivots():
+    # A's ball takes B; C is near B alone, and is left to the second search.
     fp = np.array([[0, 0], [2**30 - 1, 0], [2**60 - 1, 0]], np.uint64)
-    links = [(int(p), int(x)) for a, b in H.pivots(np.array([1, 2, 3]), fp, 35) for p, x in zip(a, b)]
-    assert links == [(1, 2), (3, 2)]
-    rng = random.Random(70)
-    b = [f"w{rng.randrange(10**6)}" for _ in range(60)]
-    a = [f"a{rng.randrange(10**6)}" for _ in range(9)] + b[9:]
-    c = b[:-6] + [f"c{rng.randrange(10**6)}" for _ in range(6)]
-    docs = [(i, " ".join(w)) for i, w in enumerate((a, b, c))]
-    got = {r.doc_id: r.class_id for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == classes(docs) == {0: 0, 1: 1, 2: 1}
+    size = np.full(3, 10)
+    assert [x.tolist() for x in H.pivots(fp, size, 35, 64, 0.8)] == [[0], [1], [30]]
+    x, y, d = H.crossing(fp, size, np.array([1, 1, 3]), 35, 64, 0.8)
+    assert (x.tolist(), y.tolist(), d.tolist()) == ([2], [1], [30])
+
+
+def test_near_pairs_by_brute_force():
+    rng = np.random.default_rng(2)
+    fp = rng.integers(0, 2**64, (300, 2), np.uint64)
+    fp[150:] = fp[:150] ^ (np.uint64(1) << rng.integers(0, 64, (150, 2), np.uint64))
+    want = {(i, j) for i in range(300) for j in range(300) if sum(bin(int(a ^ b)).count("1") for a, b in zip(fp[i], fp[j])) <= 50}
+    for cells in (100, 1 << 18):
+        H.BLOCK_CELLS, before = cells, H.BLOCK_CELLS
+        got = {(int(a), int(b)) for x, y, _ in H.near_pairs(fp, None, 50, 64) for a, b in zip(x, y)}
+        both = {(int(a), int(b)) for x, y, _ in H.near_pairs(fp[:100], fp[100:], 50, 64) for a, b in zip(x, y)}
+        H.BLOCK_CELLS = before
+        assert got == {(i, j) for i, j in want if i < j} and both == {(i, j - 100) for i, j in want if i < 100 <= j}
+
+
+def test_chain(spark):
+    # A and B, B and C are similar; the fingerprints of A and C are far apart: one class of three.
+    for seed in range(2):
+        rng = random.Random(seed)
+        b = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        a = [f"a{rng.randrange(10**6)}" for _ in range(20)] + b[20:]
+        c = b[:-20] + [f"c{rng.randrange(10**6)}" for _ in range(20)]
+        docs = [(i, " ".join(w)) for i, w in enumerate((a, b, c))]
+        got = {r.doc_id: r.class_id for r in H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == classes(docs) == {0: 0, 1: 0, 2: 0}
+
+
+def test_crowded_lists(spark, monkeypatch):
+    """A family that fills lists beyond a task's share gives the classes that it gives in one list."""
+    for name, value in (("LIST_ROWS", 32), ("LEAF_ROWS", 16), ("HOT", 2), ("PROBE", 1)):
+        monkeypatch.setattr(H, name, value)
+    rng = random.Random(9)
+    base = " ".join(f"w{i}" for i in range(150))
+    docs = [(i, near(rng, base, 1)) for i in range(260)] + [(300 + i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(50))) for i in range(60)]
+    rows = H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(r.class_size == 260 for r in rows) == 260 and sum(r.class_size == 1 for r in rows) == 60
+
+
+def test_repeated_rows_and_long_text(spark):
+    long = " ".join(f"w{i % 50_000}" for i in range(400_000))
+    docs = [(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g"), (3, long), (4, long + " end"), (5, None), (5, None), (None, "x y")]
+    rows = H.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [r.keep for r in rows if r.class_id == 1].count(True) == 1 and sum(r.class_id == 1 for r in rows) == 4
+    assert {r.class_id for r in rows if r.doc_id in (3, 4)} == {3} and all(r.keep for r in rows if r.doc_id == 5)
+    from vecloom.llm.stages import drop_near_duplicates
+
+    kept = drop_near_duplicates(spark.createDataFrame([(*d, i) for i, d in enumerate(docs)], "doc_id long, text string, _key long")).collect()
+    assert sorted((r.doc_id or 0, r._key) for r in kept)[1:] in ([(1, k), (3, 4), (5, 6), (5, 7)] for k in range(3))
 
 
 def test_fingerprints():

@@ -67,15 +67,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (tests), an own one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder, else, in a local session only, an own one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
-        return root.rstrip("/")
+        return root.rstrip("/") if "://" in root or not root.startswith(("/", "file:")) else "file://" + root.removeprefix("file:").rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="vecloom-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], True)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[0])
     return "file://" + _OWN_DIR[0]
 
 
@@ -98,6 +98,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()} if df is not None else ():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
+            if path.getName().startswith("vecloom-"):
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns, name: str) -> str:
+    """A name like this one that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, to size chunks and buckets by."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()

@@ -9,18 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, memo, stored
+from .common import batches_by_bytes, fresh, memo, stored
 from .decontaminate import cut_spans, find_contamination
 from .language_id import BATCH_BYTES, SWITCH, WORD, Model, ScoreCache, train, viterbi
 from .simhash_dedup import near_duplicates, small
 from .substring_dedup import CHUNK_BYTES, WIDTH, attach, kept_words, repeated_windows
 
-KEY = "_vecloom_key"
 
-
-def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds the hash of id and text by which stages find their rows again."""
-    return docs.withColumn(KEY, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """Adds the hash of id and text by which stages find their rows again, under a name that no column has."""
+    key = fresh(docs.columns, "_key")
+    return docs.withColumn(key, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")))), key
 
 
 def changed(docs: DataFrame, how, columns: list[str], schema) -> DataFrame:
@@ -58,38 +57,46 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, penalty: float =
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class of near duplicates."""
-    gone = stored(near_duplicates(docs).where("not keep").select(F.col("k").alias(KEY)).distinct(), "gone")
-    return with_key(docs).join(small(gone, 16), KEY, "left_anti").select(docs.columns)
+    """One document of each class of near duplicates; of rows alike in id and text one, too."""
+    rows, key = with_key(docs)
+    found = near_duplicates(docs).groupBy(F.col("k").alias(key)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("long")).alias("kept")).where("kept < n")
+    found = stored(found, "gone")
+    out = rows.join(small(found.select(key), 16), key, "left_anti")
+    again = found.where("kept > 0").select(key)  # repeated rows of which one stays
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(small(again, 16), key, "left_semi").dropDuplicates([key]))
+    return out.select(docs.columns)
 
 
 def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Texts without the words of repeated windows; texts without repeats stay as they are."""
-    rows = with_key(docs)
-    places = repeated_windows(rows.select(F.col(KEY).alias("k"), F.coalesce("text", F.lit("")).alias("text")), width)
+    rows, key = with_key(docs)
+    places = repeated_windows(rows.select(F.col(key).alias("k"), F.coalesce("text", F.lit("")).alias("text")), width)
     if places is None:
         return docs
+    runs_name = fresh(rows.columns, "_runs")
 
     def how(batch):
         out = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist()):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column(runs_name).to_pylist()):
             out.append(b" ".join(kept_words(text.encode().split(), runs, width)).decode() if runs else text)
         return pa.array(out, pa.string())
 
-    return changed(attach(rows, places, "left", KEY, "_runs").select(*docs.columns, "_runs"), how, docs.columns, docs.schema)
+    return changed(attach(rows, places, "left", key, runs_name).select(*docs.columns, runs_name), how, docs.columns, docs.schema)
 
 
 def cut_benchmark(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
     """Documents without those that hold windows of least_items items or more; of the others the windows are cut out."""
-    rows = with_key(docs)
-    found = find_contamination(rows.select(KEY, "text"), benchmark, doc_id=KEY).where(F.size("items") > 0)
-    found = stored(found.groupBy(F.col("doc_id").alias(KEY)).agg(F.first("spans").alias("_spans"), F.max(F.size("items")).alias("_items")), "contaminated")
-    joined = rows.join(small(found, 256), KEY, "left").where(F.coalesce("_items", F.lit(0)) < least_items)
+    rows, key = with_key(docs)
+    spans_name, items_name = fresh(rows.columns, "_spans"), fresh(rows.columns, "_items")
+    found = find_contamination(rows.select(key, "text"), benchmark, doc_id=key).where(F.size("items") > 0)
+    found = stored(found.groupBy(F.col("doc_id").alias(key)).agg(F.first("spans").alias(spans_name), F.max(F.size("items")).alias(items_name)), "contaminated")
+    joined = rows.join(small(found, 256), key, "left").where(F.coalesce(items_name, F.lit(0)) < least_items)
 
     def how(batch):
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_name).to_pylist()):
             out.append(cut_spans(text, [(s["start"], s["end"]) for s in spans]) if spans else text)
         return pa.array(out, pa.string())
 
-    return changed(joined.select(*docs.columns, "_spans"), how, docs.columns, docs.schema)
+    return changed(joined.select(*docs.columns, spans_name), how, docs.columns, docs.schema)
