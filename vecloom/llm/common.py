@@ -6,7 +6,9 @@ import atexit
 import ctypes
 import gc
 import shutil
+import sys
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -121,6 +123,19 @@ def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def category_ranges(*categories: str) -> str:
+    """The characters of Unicode categories (their first letters, or both) as ranges of a regular expression's class."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(categories)
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
 def lower_word_table() -> bytes:
     """bytes.translate table: A-Z to lower case, ASCII other than letters and digits to a space.
 

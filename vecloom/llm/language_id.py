@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, memo, table
+from .common import batches_by_bytes, category_ranges, memo, table
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters: \\w has numbers of all kinds (½, ②, Ⅷ) besides, which are no letters.
+WORD = re.compile(rf"[^\W_{category_ranges('N')}]+")
 UNKNOWN = "und"
-#: Labelled documents to fit on, at most, and characters of a gram.
-SAMPLE_DOCS, GRAM = 5_000, 3
+#: Labelled documents to fit on and bytes of their texts, at most (one document is taken whatever its length), and characters of a gram.
+SAMPLE_DOCS, SAMPLE_BYTES, GRAM = 5_000, 64 << 20, 3
+#: Occurrences in the sample from which a word counts by itself, and not by its spelling alone.
+LEAST_COUNT = 1
 SWITCH = 12.0
 BATCH_BYTES = 4 << 20
 CACHE_WORDS = 200_000
@@ -105,10 +108,11 @@ class ScoreCache(dict):
         return [self.rows[list(map(self.__getitem__, ws))] if ws else self.rows[:0] for ws in texts]
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most sample_docs labelled documents, those of the smallest hashed ids, word by word on executors.
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, least_count: int = LEAST_COUNT, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Fits on a sample of distinct labelled documents, those of the smallest hashes of id, language and text, word by word on executors.
 
-    What comes to the driver are counts by language of n-grams and scripts, and of words seen more than 4 times.
+    Documents are added in that order while both bounds hold; texts are taken whole. What comes to the driver are the sample's counts by
+    language of words (those seen least_count times), n-grams and scripts. Rows whose id, text or language is null aren't learned from.
     """
 
     def count(batches):
@@ -129,10 +133,15 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id
         yield pa.RecordBatch.from_arrays(columns, ["lang", "kind", "key", "n"])
 
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    # Ids first, so that only the sample's texts are moved.
-    chosen = labelled.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h", "id").limit(sample_docs).select("id")
-    rows = labelled.join(F.broadcast(chosen), F.col(doc_id) == F.col("id"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(count, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where("kind <> 'w' or n > 4")
+    labelled = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id), F.col(lang), F.col(text)).alias("h"))
+    # Hashes first, and only as many as leave enough for the sample, so that few rows are grouped and only the sample's texts are moved.
+    n = labelled.count()
+    few = F.col("h") <= int(-(2**63) + min(1.0, 8 * sample_docs / max(1, n)) * (2**64 - 1)) if n > 8 * sample_docs else F.lit(True)
+    order = labelled.where(few).groupBy("h").agg(F.max(F.octet_length("text")).alias("size")).orderBy("h").limit(sample_docs).collect()  # at most sample_docs hashes
+    held = np.cumsum([r.size for r in order])
+    chosen = docs.sparkSession.createDataFrame([(r.h,) for i, r in enumerate(order) if not i or held[i] <= sample_bytes], "h bigint")
+    rows = labelled.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).select("lang", "text")
+    counted = rows.mapInArrow(count, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).where((F.col("kind") != "w") | (F.col("n") >= least_count))
     by: dict[str, dict[str, Counter]] = {"w": {}, "g": {}, "s": {}}
     for r in counted.collect():
         for kind in by:
@@ -188,7 +197,8 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, doc_id: str = "doc_id", text: str = "text", with_spans: bool = True) -> DataFrame:
     """Per row: doc_id, lang_pred, score and, with_spans, spans (lang, start, end in words).
 
-    `und` with score 0 where the text is null or has no letter, or where no language was learned. Only the text is read.
+    `und` with score 0 where the text is null or has no letter, or where no language was learned. Only the text is read, whole, whatever
+    its length; repeated rows give repeated results.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     box = docs.sparkSession.sparkContext.broadcast(model.parts())  # counts of a bounded sample
