@@ -7,14 +7,13 @@ without a copy; the shard's document ids lie beside it. Files are written under
 the stored manifest names them, so a retried or speculative task leaves no trace in the result.
 
 Byte-level BPE works on pre-tokens one by one, so each distinct pre-token goes through the library once per worker.
-A text that holds an added token of the tokenizer goes through the library whole.
+A text that holds an added token of the tokenizer, or a character that Python's Unicode tables don't know (the library's may be
+newer), goes through the library whole.
 """
 
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 import uuid
 import zlib
 
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, memo, shared_path, stored, table, text_bytes
+from .common import batches_by_bytes, category_ranges, memo, shared_path, stored, table, text_bytes
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
 SHARD_BYTES = 32 << 20  # of text
@@ -35,15 +34,7 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 def _pattern() -> re.Pattern:
     """The pre-tokens of byte-level BPE for the standard re module: \\w less numbers is \\p{L} there."""
-    digits = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "N")
-    runs, i = [], 0
-    while i < len(digits):
-        j = i
-        while j + 1 < len(digits) and ord(digits[j + 1]) == ord(digits[j]) + 1:
-            j += 1
-        runs.append(digits[i] if i == j else f"{digits[i]}-{digits[j]}")
-        i = j + 1
-    n = "".join(runs)
+    n = category_ranges("N")
     return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_{n}]+| ?[{n}]+| ?(?:[^\w{SPACES}]|_)+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -66,17 +57,22 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.any_parts = _pattern().findall
+        self.any_parts, self.unknown = _pattern().findall, re.compile(f"[{category_ranges('Cn')}]").search
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.holds_added = re.compile("|".join(added)).search if added else lambda text: None
 
-    def cut(self, text: str) -> list[str]:
-        return LATIN_PARTS.findall(text) if LATIN_TEXT.match(text) else self.any_parts(text)
+    def cut(self, text: str) -> list[str] | None:
+        """Pre-tokens; None if the library has to cut the text."""
+        if self.holds_added(text):
+            return None
+        if LATIN_TEXT.match(text):
+            return LATIN_PARTS.findall(text)
+        return None if self.unknown(text) else self.any_parts(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_TOKENS:
             self.clear()
-        parts = [None if self.holds_added(t) else self.cut(t) for t in texts]
+        parts = list(map(self.cut, texts))
         new = list(set().union(*(ps for ps in parts if ps is not None)) - self.keys())
         if new:
             for p, data in zip(new, self.by_library(new)):
@@ -145,8 +141,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
     model = tokenizer or default_tokenizer()
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     shards = max(1, -(-text_bytes(rows)[1] // shard_bytes))
-    # The text's hash breaks ties, so that one id can't fill a shard beyond its rows that are alike.
-    rows = rows.repartitionByRange(shards, "doc_id", F.octet_length("text")).sortWithinPartitions("doc_id", F.octet_length("text"))
+    # Length and hash of the text break ties, so that one id can't fill a shard beyond its rows that are alike, and rows of one id have a fixed order.
+    order = ["doc_id", F.octet_length("text"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches):
         from pyarrow import fs
