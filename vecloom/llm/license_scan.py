@@ -1,9 +1,11 @@
 """License scan: base phrases, and license templates with markup compiled into token automata.
 
-A template is its wording with two kinds of markup: ``<<opt>> ... <<end>>`` holds words that may be left
-out (nesting is allowed), ``<<var:n>>`` stands for up to n replaceable words. It compiles into an automaton over words; a
+A template is its wording with two kinds of markup, in the manner of SPDX templates: ``<<beginOptional>> ... <<endOptional>>`` holds words
+that may be left out (nesting is allowed), ``<<var;name="x";match=".{a,b}">>`` stands for a replaceable run of words. A run's bounds
+are given in characters; it may have as many words as fit, (b + 1) // 2, and must have one if a is not 0. It compiles into an automaton over words; a
 text is accepted from a word on if a path reads exactly the mandatory wording, with any choice for the marked regions.
-The longest mandatory word run of a template is looked for first, so automata run only where they can succeed.
+The longest mandatory word run of a template is looked for first: automata run only on texts that have it, and start only at a template's first
+words, or, where it starts with a replaceable run, within reach of the mandatory run.
 """
 
 from __future__ import annotations
@@ -16,24 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_WORDS, batches_by_bytes, table
+from .license_templates import TEMPLATES
 
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-TEMPLATES = {
-    "mit-notice": "<<opt>>this <<var:4>> is<<end>> released under the mit license",
-    "apache-2.0-notice": "licensed under the apache license <<opt>>version<<end>> 2 0 <<opt>>the license<<end>>",
-    "gpl-3.0-notice": "<<opt>>this <<var:4>> is<<end>> licensed under the gnu general public license <<opt>>as published by the free software foundation<<end>> <<opt>>either<<end>> version 3",
-    "cc-by-nc-4.0-notice": "<<opt>>this <<var:4>> is<<end>> licensed under <<opt>>a<<end>> cc by nc 4 0 <<opt>>international license<<end>>",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software <<opt>>the software is provided as is without warranty of any kind<<end>>",
-    "isc-text": "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>><<opt>>3<<end>> neither the name of <<var:12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<end>>",
-    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<var:2>> of the license or at your option any later version",
-    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
-    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
-}
-
 ANY = None
-MARK = re.compile(r"<<(opt|end|var:(\d+))>>")
+MARK = re.compile(r"<<(?:(beginOptional)|(endOptional)|var;(?:[^<>]*;)?match=\"\.\{(\d+),(\d+)\}\"[^<>]*)>>")
 BATCH_BYTES = 16 << 20
 
 
@@ -48,50 +38,60 @@ class Automaton:
         self.step: list[tuple[bytes | None, int] | None] = []
         self.skip: list[list[int]] = []
         runs: list[list[bytes]] = [[]]
-        here, open_at, at = self._state(), [], 0
+        before: list[int] = [0]  # words that can come before each run, at most
+        here, open_at, at, most = self._state(), [], 0, 0
         for m in [*MARK.finditer(template), None]:
-            for w in words_of(template[at : m.start() if m else len(template)]):
-                nxt = self._state()
-                self.step[here] = (w, nxt)
-                here = nxt
+            plain = template[at : m.start() if m else len(template)]
+            if "<<" in plain or ">>" in plain:
+                raise ValueError(f"markup that isn't known: {plain}")
+            for w in words_of(plain):
+                here = self._word(here, w)
                 if not open_at:
                     runs[-1].append(w)
+                most += 1
             if m is None:
                 break
             at = m.end()
-            runs.append([])
-            if m[1] == "opt":
+            if m[1]:
                 nxt = self._state()
                 self.skip[here].append(nxt)
                 open_at.append(here)
                 here = nxt
-            elif m[1] == "end":
+            elif m[2]:
+                if not open_at:
+                    raise ValueError("an optional region ends that hasn't begun")
                 nxt = self._state()
                 self.skip[here].append(nxt)
                 self.skip[open_at.pop()].append(nxt)
                 here = nxt
             else:
-                last, begun = [], here
-                for _ in range(int(m[2])):
-                    nxt = self._state()
-                    last.append(here)
-                    self.step[here] = (ANY, nxt)
-                    here = nxt
-                end = self._state()
-                for s in [*last, here]:
-                    self.skip[s].append(end)
-                assert begun == last[0]
-                here = end
+                least, words = int(m[3]) > 0, (int(m[4]) + 1) // 2
+                ends = [] if least else [here]
+                for _ in range(words):
+                    here = self._word(here, ANY)
+                    ends.append(here)
+                most += words
+                here = self._state()
+                for s in ends:
+                    self.skip[s].append(here)
+            runs.append([])
+            before.append(most)
         if open_at:
             raise ValueError("an optional region isn't closed")
         self.final = here
-        self.anchor = max(runs, key=lambda r: sum(map(len, r)))
+        best = max(range(len(runs)), key=lambda i: sum(map(len, runs[i])))
+        self.anchor, self.reach = runs[best], before[best]
         if not self.anchor:
             raise ValueError("a template needs mandatory words")
         self.phrase = b" " + b" ".join(self.anchor) + b" "
         self.trigger = max(self.anchor, key=len)
         self.first = {self.step[s][0] for s in self._closed({0}) if self.step[s]}
 
+    def _word(self, here: int, word: bytes | None) -> int:
+        nxt = self._state()
+        self.step[here] = (word, nxt)
+        return nxt
+
     def _state(self) -> int:
         self.step.append(None)
         self.skip.append([])
@@ -120,17 +120,26 @@ class Automaton:
                 return end
             at += 1
 
-    def find(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Accepted spans [start, end) from left to right, none inside another."""
-        found, at = [], 0
-        while at < len(words):
+    def find(self, words: list[bytes], anchors: list[int] | None = None) -> list[tuple[int, int]]:
+        """Accepted spans [start, end) from left to right, none inside another: of those that start at a word the longest.
+
+        anchors: the word numbers of the mandatory run. An accepted text holds it, at most `reach` words after its start.
+        """
+        if anchors is None:
+            anchors = [i for i in range(len(words)) if words[i : i + len(self.anchor)] == self.anchor]
+        found, at, k = [], 0, 0
+        while True:
+            while k < len(anchors) and anchors[k] < at:
+                k += 1
+            if k == len(anchors):
+                return found
+            at = max(at, anchors[k] - self.reach)
             end = self.match(words, at) if (ANY in self.first or words[at] in self.first) else None
             if end is not None and end > at:
                 found.append((at, end))
                 at = end
             else:
                 at += 1
-        return found
 
 
 @lru_cache(maxsize=8)
@@ -140,9 +149,11 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automato
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which a phrase stands in b' w0 w1 ... '."""
-    out, p = [], joined.find(phrase)
+    out, p, n, counted = [], joined.find(phrase), -1, 0
     while p >= 0:
-        out.append(joined.count(b" ", 0, p + 1) - 1)
+        n += joined.count(b" ", counted, p + 1)
+        out.append(n)
+        counted = p + 1
         p = joined.find(phrase, p + 1)
     return out
 
@@ -155,8 +166,8 @@ def scan(words: list[bytes], text: bytes, phrases, automata):
         for _, phrase, label in phrases:
             base += [(k, label) for k in places(joined, phrase)]
         for label, a in automata:
-            if a.phrase in joined:
-                spans += [(s, e, label) for s, e in a.find(words)]
+            if a.trigger in text and (anchors := places(joined, a.phrase)):
+                spans += [(s, e, label) for s, e in a.find(words, anchors)]
     return base, spans
 
 
@@ -164,7 +175,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: the accepted template texts as (label, start, end) in words. score: 1 with an accepted template, 0.5 with base
-    phrases only, else 0. Null and empty texts have no words and no labels; repeated rows give repeated results.
+    phrases only, else 0. Null and empty texts have no words and no labels; repeated rows give repeated results; texts are read whole,
+    in time that grows with their length. Columns other than the id and the text are not read.
     """
     phrases = BASE_PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
