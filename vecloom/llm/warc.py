@@ -20,6 +20,7 @@ from .common import shared_path, stored, table
 
 MAGIC, CRLF = b"WARC/1.1\r\n", "\r\n"
 SPLIT_BYTES, HEADER_BYTES = 8 << 20, 1 << 16
+MOST_TASKS = 100_000  # beyond them tasks read several splits, one after the other
 #: Bytes of the table of revisits up to which it is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d+)[ \t]*(?=\r\n|\Z)")
@@ -37,7 +38,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str
 
     Of rows with equal payloads of min_bytes or more, that with the largest id is a response, the others are
     revisits without a payload; smaller ones are all responses. Null payloads are empty; rows that share the largest id are all
-    responses; a null id is written as empty and counts as the smallest.
+    responses; a null id is written as empty and counts as the smallest. Payloads of any length are written whole; columns other than the
+    id, the payload and the url are not read.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     target = F.coalesce(F.col(url).cast("string"), F.lit("")) if url in pages.columns else F.lit("")
@@ -118,7 +120,6 @@ def _links(batches):
     """(uri, at, leaves): a candidate record and the first offset outside its split that its chain reaches."""
     ranges = Ranges()
     for batch in batches:
-        out = []
         for row in batch.to_pylist():
             uri, size, start, stop = uri_of(row["uri"]), row["size"], row["start"], row["stop"]
             data = ranges.read(uri, start, min(stop + len(MAGIC) - 1, size) - start)
@@ -134,9 +135,9 @@ def _links(batches):
                 head = data[at:end] if end >= 0 else head_at(ranges, uri, start + at, size)
                 nxt = successor(head, start + at)
                 leaves[start + at] = nxt if nxt is None or nxt >= stop else leaves.get(nxt)
-            out += [(row["uri"], at, nxt) for at, nxt in leaves.items() if nxt is not None]
-        columns = [pa.array([r[i] for r in out], pa.int64() if i else pa.string()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays(columns, ["uri", "at", "leaves"])
+            out = [(row["uri"], at, nxt) for at, nxt in leaves.items() if nxt is not None]
+            columns = [pa.array([r[i] for r in out], pa.int64() if i else pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["uri", "at", "leaves"])
 
 
 def _field(head: bytes, name: bytes) -> str | None:
@@ -149,38 +150,44 @@ def _page(urn: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _records(batches):
-    ranges = Ranges()
-    for batch in batches:
-        rows = {c: [] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")}
-        for row in batch.to_pylist():
-            uri, size, stop, at = uri_of(row["uri"]), row["size"], row["stop"], row["entry"]
-            base, data = at, ranges.read(uri, at, stop - at)
-            while at is not None and at < stop:
-                end = data.find(b"\r\n\r\n", at - base)
-                head = data[at - base : end] if end >= 0 else head_at(ranges, uri, at, size)
-                nxt = successor(head, at) if head and head.startswith(MAGIC) else None
-                if nxt is None or nxt > size:
-                    break  # a cut or damaged archive: what follows isn't reachable
-                begin = at + len(head) + 4
+def _records(with_payload: bool):
+    """The records of each split from its verified entry on; one split is held at a time, and of payloads that aren't asked for none."""
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["url", "payload"] * with_payload
+    n, s = pa.int64(), pa.string()
+    schema = pa.schema(list(zip(names, [n, n, s, s, n, s, pa.binary()])))
+
+    def one(ranges: Ranges, row: dict) -> list[tuple]:
+        uri, size, stop, at = uri_of(row["uri"]), row["size"], row["stop"], row["entry"]
+        base, data, out = at, ranges.read(uri, at, stop - at), []
+        while at is not None and at < stop:
+            end = data.find(b"\r\n\r\n", at - base)
+            head = data[at - base : end] if end >= 0 else head_at(ranges, uri, at, size)
+            nxt = successor(head, at) if head and head.startswith(MAGIC) else None
+            if nxt is None or nxt > size:
+                break  # a cut or damaged archive: what follows isn't reachable
+            begin = at + len(head) + 4
+            kind, digest = _field(head, b"WARC-Type"), _field(head, b"WARC-Payload-Digest") or ""
+            digest, count = digest.removeprefix("sha1:"), _field(head, b"WARC-Payload-Length")
+            payload = None
+            if kind == "response":
                 payload = data[begin - base : nxt - 4 - base] if nxt - 4 <= base + len(data) else ranges.read(uri, begin, nxt - 4 - begin)
-                kind, digest = _field(head, b"WARC-Type"), _field(head, b"WARC-Payload-Digest") or ""
-                digest, count = digest.removeprefix("sha1:"), _field(head, b"WARC-Payload-Length")
-                if kind == "response":
-                    own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    if digest and own != digest:
-                        raise ValueError(f"{uri}: the payload at {at} doesn't have the digest that its header says")
-                    digest, count = own, len(payload)
-                rows["page_id"].append(_page(_field(head, b"WARC-Record-ID")))
-                rows["payload_bytes"].append(int(count) if count is not None else None)
-                rows["payload_digest"].append(digest)
-                rows["record_type"].append(kind)
-                rows["refers_to"].append(_page(_field(head, b"WARC-Refers-To")))
-                rows["url"].append(_field(head, b"WARC-Target-URI"))
-                rows["payload"].append(payload if kind == "response" else None)
-                at = nxt
-        n, s = pa.int64(), pa.string()
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), [n, n, s, s, n, s, pa.binary()])], list(rows))
+                own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                if digest and own != digest:
+                    raise ValueError(f"{uri}: the payload at {at} doesn't have the digest that its header says")
+                digest, count = own, len(payload)
+            record = (_page(_field(head, b"WARC-Record-ID")), int(count) if count is not None else None, digest, kind, _page(_field(head, b"WARC-Refers-To")))
+            out.append((*record, _field(head, b"WARC-Target-URI"), payload) if with_payload else record)
+            at = nxt
+        return out
+
+    def run(batches):
+        ranges = Ranges()
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = one(ranges, row)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(schema.types)], schema=schema)
+
+    return run
 
 
 def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
@@ -191,7 +198,7 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     """
     splits = stored(splits_of(spark, path, split_bytes), "warc-splits")
     n = max(1, splits.count())
-    tasks = splits.repartition(min(n, 10_000))
+    tasks = splits.repartition(min(n, MOST_TASKS))
     links = stored(tasks.mapInArrow(_links, "uri string, at bigint, leaves bigint"), "warc-links")
     # Only files' starts and offsets that some chain leaves to can be entries of splits: a few rows a split.
     entries = splits.where("start = 0").select("uri", F.lit(0).cast("bigint").alias("at")).union(links.select("uri", F.col("leaves").alias("at"))).distinct()
@@ -209,16 +216,9 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
         jump = stored(jump.join(onward, ["uri", "leaves"], "left").select("uri", "at", F.coalesce("further", "leaves").alias("leaves")).union(jump).distinct(), "warc-jump")
     at_split = reach.withColumn("start", F.col("at") - F.pmod(F.col("at"), F.lit(split_bytes).cast("bigint")))
     first = at_split.groupBy("uri", "start").agg(F.min("at").alias("entry"))
-    work = splits.join(first, ["uri", "start"]).repartition(min(n, 10_000))
-    out = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
-    if with_payload:
-        return work.mapInArrow(_records, out)
-
-    def digests(batches):
-        for batch in _records(batches):
-            yield batch.select(batch.schema.names[:5])
-
-    return work.mapInArrow(digests, ", ".join(out.split(", ")[:5]))
+    work = splits.join(first, ["uri", "start"]).repartition(min(n, MOST_TASKS))
+    out = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", url string, payload binary" * with_payload
+    return work.mapInArrow(_records(with_payload), out)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
