@@ -6,23 +6,24 @@ shorter than every window are left out. Backward search through wavelet-tree ran
 at once, sampled suffix positions locate them, and the positions merge into spans to remove.
 
 The benchmark goes to the workers in parts of a checked size; more than one part means more than one
-pass, whose spans are merged by document.
+pass, whose spans are merged by row, with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_WORDS, batches_by_bytes, release, table, texts_of
+from .common import LOWER_WORDS, batches_by_bytes, memo, stored, table, texts_of
 from .fm_index import FMIndex
 
 WINDOW = 8
-PART_BYTES = 32 << 20  # of benchmark text in one pass
+PART_BYTES = 16 << 20  # of benchmark text in one pass: 8 M windows of 36 bytes at most, a third of that in ordinary text
 SHARD_WORDS, BATCH_BYTES = 1_500_000, 8 << 20
 
 
@@ -31,18 +32,27 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.symbols: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in (text or "").encode().translate(LOWER_WORDS).split()]
-            for i in range(len(words) - window + 1 if len(words) >= window else min(1, len(words))):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.sizes = np.array([len(k) for k in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for i, k in enumerate(found):
-            self.rows[i, : len(k)] = k
-        self.items = [sorted(v) for v in found.values()]
+        at = self.symbols.setdefault
+        words = [np.array([at(w, len(self.symbols) + 1) for w in (text or "").encode().translate(LOWER_WORDS).split()], np.int32) for _, text in items]
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.concatenate([*words, np.zeros(window, np.int32)])
+        count = np.where(size >= window, size - window + 1, np.minimum(size, 1))
+        item = np.repeat(np.arange(len(items)), count)
+        first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(size) - size, count)
+        sizes = np.minimum(size, window)[item]
+        rows = flat[first[:, None] + np.arange(window)]
+        rows[np.arange(window) >= sizes[:, None]] = 0  # a short item's window ends with it
+        _, kept, which = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        self.rows, self.sizes = rows[kept].astype(np.int64), sizes[kept]
+        self.names = [i for i, _ in items]
+        pairs = np.unique(np.stack([which.ravel(), item], 1), axis=0) if len(which) else np.zeros((0, 2), np.int64)
+        self.item, self.begin = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1))
         self.shortest = int(self.sizes.min(initial=window))
 
+    def items_of(self, found: np.ndarray) -> list[str]:
+        """The items of some windows, by name."""
+        return sorted({self.names[i] for w in np.unique(found) for i in self.item[self.begin[w] : self.begin[w + 1]].tolist()})
+
 
 def shard_hits(parts: list[tuple[np.ndarray, np.ndarray]], windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, window) of all occurrences; parts: symbols and each document's number of words."""
@@ -92,10 +102,10 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, kind: str) -> DataFrame:
     box = docs.sparkSession.sparkContext.broadcast(items)  # PART_BYTES at most, but for a single longer item
+    name = uuid.uuid4().hex
 
     def run(batches):
-        release()
-        windows = Windows(box.value, window)
+        windows = memo(name, lambda: Windows(box.value, window))
         get = windows.symbols.get
 
         def answer(ids, parts):
@@ -112,9 +122,9 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, kin
                     continue
                 s, e = merged(first[a:b], first[a:b] + windows.sizes[which[a:b]])
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e)])
-                names.append(sorted({i for w in set(which[a:b].tolist()) for i in windows.items[w]}))
+                names.append(windows.items_of(which[a:b]))
             columns = [pa.concat_arrays(ids), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items"])
+            return pa.RecordBatch.from_arrays(columns, ["row", "n_words", "spans", "items"])
 
         ids, parts, held = [], [], 0
         for batch in batches_by_bytes(batches, 1, BATCH_BYTES):
@@ -132,30 +142,31 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], window: int, kin
         if ids:
             yield answer(ids, parts)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
+    return docs.mapInArrow(run, f"row {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, spans (merged [start, end) in words) and items (sorted) with occurring windows.
 
-    An item of fewer words than a window is one window, one without words or a null text has none. Null and empty documents have no
-    words. With a benchmark of more than part_bytes documents need distinct ids, as passes are merged by them.
+    An item of fewer words than a window is one window, one without words or a null text has none; items without an id are left out. Null and
+    empty documents have no words. Every row gives a row, also if rows share an id or have none. Texts are read whole: one longer than
+    a shard is a shard of its own. Columns other than the id and the text are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // part_bytes))
-    parts = []
-    for p in range(passes):
-        part = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
-        parts.append(_pass(rows, [(r.item_id, r.text) for r in part.collect()], window, kind))
     if passes == 1:
-        return parts[0]
-    every = parts[0]
-    for other in parts[1:]:
-        every = every.union(other)
-    gathered = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return _pass(rows, [(r.item_id, r.text) for r in bench.collect()], window, kind).withColumnRenamed("row", "doc_id")
+    # Rows are numbered once, in a written table, so that all passes know them by one number.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    every = None
+    for p in range(passes):
+        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
+        found = _pass(rows.select("row", "text"), [(r.item_id, r.text) for r in part.collect()], window, "bigint")
+        every = found if every is None else every.union(found.where(F.size("items") > 0))
+    gathered = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Sorted spans merge in one fold: a span extends the last one or follows it.
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     last = lambda acc: F.element_at(acc, -1)
@@ -165,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         longer = F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
 
-    return gathered.select("doc_id", "n_words", F.aggregate("s", empty, step).alias("spans"), "items")
+    return rows.select("row", "doc_id").join(gathered, "row").select("doc_id", "n_words", F.aggregate("s", empty, step).alias("spans"), "items")
 
 
 def with_verdict(found: DataFrame, least_items: int = 2) -> DataFrame:
