@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -61,16 +62,71 @@ def test_cut_archive(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}", 100).collect()) == [1, 2]
 
 
+OPT, END, VAR = "<<beginOptional>>", "<<endOptional>>", '<<var;name="x";match=".{%d,%d}">>'
+
+
 def test_license_automata():
-    a = license_scan.Automaton("a <<opt>>b <<opt>>c<<end>><<end>> d <<var:2>> e")
+    a = license_scan.Automaton(f"a {OPT}b {OPT}c{END}{END} d {VAR % (0, 3)} e")
     w = lambda s: s.encode().split()
     for text in ("a d e", "a b d e", "a b c d x e", "a d x y e"):
         assert a.match(w(text), 0) == len(w(text)), text
     for text in ("a c d e", "a d x y z e", "b d e", "a b"):
         assert a.match(w(text), 0) is None, text
     assert a.find(w("a d e q a b d e")) == [(0, 3), (4, 8)]
-    with pytest.raises(ValueError):
-        license_scan.Automaton("<<opt>>x")
+    for bad in (f"{OPT}x", f"x{END}", "<<opt>> x", f"{OPT}x{END}"):
+        with pytest.raises(ValueError):
+            license_scan.Automaton(bad)
+    none = license_scan.Automaton(f"a {VAR % (0, 0)} b")
+    assert none.match(w("a b"), 0) == 2 and none.match(w("a x b"), 0) is None
+
+
+def as_regex(template):
+    """The template as an ordinary regular expression over ' word word ', for tests."""
+    out, at = "", 0
+    for m in [*license_scan.MARK.finditer(template), None]:
+        out += "".join(f"{w.decode()} " for w in license_scan.words_of(template[at : m.start() if m else None]))
+        if m is None:
+            return re.compile(" " + out)
+        at = m.end()
+        out += "(?:" if m[1] else ")?" if m[2] else "(?:[^ ]+ ){%d,%d}" % (int(m[3]) > 0, (int(m[4]) + 1) // 2)
+
+
+def test_license_labels_by_brute_force():
+    """Texts made from the templates, whole or with one word changed, against regular expressions."""
+    import random
+
+    rng = random.Random(3)
+    for name, template in license_scan.TEMPLATES.items():
+        a, brute = license_scan.Automaton(template), as_regex(template)
+        for trial in range(6):
+            words, skip = [], 0
+            at = 0
+            for m in [*license_scan.MARK.finditer(template), None]:
+                if not skip:
+                    words += [w.decode() for w in license_scan.words_of(template[at : m.start() if m else None])]
+                if m is None:
+                    break
+                at = m.end()
+                if m[1]:
+                    skip += bool(skip) or trial % 2
+                elif m[2]:
+                    skip -= bool(skip)
+                elif not skip:
+                    words += [f"x{i}" for i in range(rng.randrange(int(m[3]) > 0, 1 + min(3, (int(m[4]) + 1) // 2)))]
+            if trial > 2:
+                words[rng.randrange(len(words))] = "other"
+            words = ["and", "so", *words, "it", "goes"]
+            got = bool(a.find([w.encode() for w in words]))
+            assert got == bool(brute.search(" " + " ".join(words) + " ")), (name, trial)
+            assert got or trial > 2, name
+
+
+def test_license_places_of_long_text():
+    words = ["mit", "license"] * 200_000
+    joined = (" " + " ".join(words) + " ").encode()
+    began = time.perf_counter()
+    assert license_scan.places(joined, b" mit license ") == list(range(0, len(words), 2))
+    assert time.perf_counter() - began < 5
 
 
 def test_license_scan(spark):
@@ -117,7 +173,7 @@ def test_language_id(spark):
     docs = [(i, (en, fr, ru)[i % 3], ("en", "fr", "ru")[i % 3]) for i in range(60)]
     model = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     assert model.langs == ["en", "fr", "ru"]
-    ask = [(1, "that cat and the mat", "fr"), (2, "une table pour le chat", None), (3, None, "en"), (4, "123 !!", "en"), (5, "столе", "en"), (6, f"{en} {en} {fr} {fr} {fr}", "en"), (6, "", None)]
+    ask = [(1, "that cat and the mat", "fr"), (2, "une table pour le chat", None), (3, None, "en"), (4, "123 !! ½ ² ① Ⅷ", "en"), (5, "столе", "en"), (6, f"{en} {en} {fr} {fr} {fr}", "en"), (6, "", None)]
     got = {(r.doc_id, r.lang_pred): r for r in language_id.identify(spark.createDataFrame(ask, "doc_id long, text string, lang_pred string"), model).collect()}
     assert {(1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "ru"), (6, "fr"), (6, "und")} == set(got)
     spans = got[6, "fr"].spans

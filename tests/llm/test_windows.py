@@ -55,6 +55,40 @@ def test_contamination(spark, monkeypatch):
     assert D.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_second_hash(monkeypatch):
+    """Windows whose first hashes are equal and whose words aren't are told apart at the last level."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "word_hashes", lambda norm, first, end, base=0: np.full(len(first), 7, np.uint64) if not base else np.arange(len(first)).astype(np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(40))])], ["k", "text"])
+    sent = pa.Table.from_batches(list(S._places(35, None, 35, 4)(iter([batch]))))
+    assert S._count(sent.filter(pa.compute.greater_equal(sent["bucket"], 0))).num_rows == 0 and -1 not in sent["bucket"].to_pylist()
+
+
+def test_rows_that_share_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(1, passage), (1, "other " + passage[:40]), (None, passage), (None, "x"), (1, passage), (2, " ".join(f"v{i}" for i in range(300_000)) + " " + passage)]
+    items = [(i, " ".join(f"p{k}" for k in range(i, i + 12))) for i in range(12)]
+    df, bench = (spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id")))
+    want = sorted(D.brute(docs, items), key=repr)
+    for size in (1 << 20, 400, 150):
+        assert sorted(map(tuple, D.with_verdict(D.find_contamination(df, bench, part_bytes=size)).collect()), key=repr) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from vecloom.llm.stages import cut_benchmark, cut_repeats, drop_near_duplicates
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} {passage} b{i} " + " ".join(f"c{i}x{j}" for j in range(200)), i, f"s{i}", i, i, i, "r", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _runs long, _spans string, _items long, _key long, k long, runs string, at binary")
+    bench = spark.createDataFrame([(1, passage[:80])], "item_id long, text string")
+    for stage in (cut_repeats, lambda d: cut_benchmark(d, bench), drop_near_duplicates):
+        got = stage(df)
+        assert got.columns == df.columns
+        assert {tuple(r)[2:] for r in got.collect()} == {r[2:] for r in rows}
+    assert all("p30" not in r.text for r in cut_repeats(df).collect()) and all("p3 " not in r.text for r in cut_benchmark(df, bench).collect())
+
+
 def test_cut_spans():
     assert D.cut_spans("Ab, cd-ef gh!", [(1, 3)]) == "Ab,  gh!"
     assert D.cut_spans("a b", [(0, 2)]) == ""
@@ -88,7 +122,7 @@ def test_substrings(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "doc_id as k", "text as runs").repartition(3)
     for width in (35, 7):
         assert sorted(map(tuple, S.substring_dedup(df, width).collect()), key=repr) == brute(docs, width)
-    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 500)
     assert sorted(map(tuple, S.substring_dedup(df, 35).collect()), key=repr) == brute(docs, 35)
     assert S.substring_dedup(df.limit(0)).count() == 0
     assert S.substring_dedup(df.where("doc_id = 0")).first().n_removed == 0

@@ -6,6 +6,9 @@ short window isn't needed: each full window is represented at a level by its min
 length with the smallest hash. Equal windows have equal minimisers, so a window whose minimiser isn't
 repeated anywhere isn't either; nothing is lost and about one position in fourteen is counted at the first level.
 
+At the last level, that of the full windows, two independent 64-bit hashes stand for a window, so equality of
+both is equality of words but for chances of 2**-128 a pair.
+
 Windows are counted in buckets by hash. A chunk of documents sends each of its hashes once: with its place if the hash is unique
 in the chunk, else only with the note that it is repeated, since the chunk's own places are then known to be
 repeated. So a passage that a third of all documents share comes to its bucket once a chunk, not once a document.
@@ -20,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, batches_by_bytes, release, stored, table, text_bytes, texts_of, trim, window_hashes, word_hashes, word_spans
+from .common import SPACE_WORDS, U64, batches_by_bytes, discard, release, stored, table, text_bytes, texts_of, trim, window_hashes, word_hashes, word_spans
 
 WIDTH, SHORTEST = 35, 9
 CHUNK_BYTES = 4 << 20
 BUCKET_PLACES = 1_000_000
-#: Bytes of a level's places up to which they are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+SECOND_BYTES, SECOND_WORDS = 0x6A09E667F3BCC909, 0xBB67AE8584CAA73B  # bases of the second hash
 PLACES = "k bigint, runs binary"
 
 
@@ -55,9 +57,14 @@ class Chunk:
         raw, offsets = texts_of(column)
         norm, first, end, self.begin = word_spans(raw, SPACE_WORDS, offsets)
         self.words = word_hashes(norm, first, end)
+        self.spans = norm, first, end
         self.sizes = np.diff(self.begin)
         self.n = len(self.words)
 
+    def second(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Another hash of the windows at some positions."""
+        return window_hashes(word_hashes(*self.spans, SECOND_BYTES), length, SECOND_WORDS)[at]
+
     def full(self, width: int) -> np.ndarray:
         """Whether a window of the width starts at a word and stays in its document."""
         left = np.repeat(self.begin[1:], self.sizes) - np.arange(self.n)
@@ -113,7 +120,7 @@ def by_document(keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
 
 
 def _places(length: int, before: int | None, width: int, buckets: int):
-    """Rows (bucket, keys, hashes, at) of a level; bucket -1: places that the chunk itself knows to be repeated."""
+    """Rows (bucket, keys, hashes, second, at) of a level; bucket -1: places that the chunk itself knows to be repeated."""
 
     def one(columns):
         keys, chunk = columns[0].to_numpy(zero_copy_only=False), Chunk(columns[1])
@@ -122,22 +129,23 @@ def _places(length: int, before: int | None, width: int, buckets: int):
         wanted = chunk.full(width) if before is None else chunk.still(before, width, flags_of(columns[2].to_pylist(), chunk.begin, chunk.n))
         at, h = chunk.anchors(length, width, wanted) if chunk.n >= width else (np.zeros(0, np.int64), np.zeros(0, U64))
         h = h[at]
-        order = np.argsort(h, kind="stable")
-        at, h = at[order], h[order]
-        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+        g = chunk.second(length, at) if length == width and len(at) else np.zeros(len(at), U64)
+        order = np.lexsort((g, h))
+        at, h, g = at[order], h[order], g[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.zeros(0, bool)
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(h)))
         alone = count == 1
         doc = np.searchsorted(chunk.begin, at, "right") - 1
         k, local = keys[doc], at - chunk.begin[doc]
-        sent_k, sent_at, sent_h = k[first], np.where(alone, local[first], -1), h[first]
+        sent_k, sent_at, sent_h, sent_g = k[first], np.where(alone, local[first], -1), h[first], g[first]
         where = ((sent_h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # hashes ascend, so buckets do
         cuts = np.searchsorted(where, np.arange(buckets + 1))
         known = np.repeat(~alone, count)
-        rows = [(b, sent_k[x:y].tobytes(), sent_h[x:y].tobytes(), sent_at[x:y].astype("<i4").tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
+        rows = [(b, sent_k[x:y].tobytes(), sent_h[x:y].tobytes(), sent_g[x:y].tobytes() if length == width else b"", sent_at[x:y].astype("<i4").tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if x < y]
         if known.any():
-            rows.append((-1, k[known].tobytes(), b"", local[known].astype("<i4").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], ["bucket", "keys", "hashes", "at"])
+            rows.append((-1, k[known].tobytes(), b"", b"", local[known].astype("<i4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(5)], ["bucket", "keys", "hashes", "second", "at"])
 
     def run(batches):
         release()
@@ -164,13 +172,16 @@ def _places(length: int, before: int | None, width: int, buckets: int):
 def _count(table_: pa.Table) -> pa.Table:
     """The places of a bucket whose hash came more than once, or came as repeated."""
     join = lambda c, kind: np.frombuffer(b"".join(table_.column(c).to_pylist()), kind)
-    keys, h, at = join("keys", np.int64), join("hashes", U64), join("at", "<i4")
-    order = np.argsort(h, kind="stable")
+    keys, h, g, at = join("keys", np.int64), join("hashes", U64), join("second", U64), join("at", "<i4")
+    order = np.lexsort((g, h)) if len(g) else np.argsort(h, kind="stable")
     keys, h, at = keys[order], h[order], at[order]
     same = h[1:] == h[:-1]
+    if len(g):
+        g = g[order]
+        same &= g[1:] == g[:-1]
     repeated = (np.append(False, same) | np.append(same, False)) & (at >= 0)
     out = by_document(keys[repeated], at[repeated])
-    del keys, h, at, order, same, repeated
+    del keys, h, g, at, order, same, repeated
     trim()
     return pa.Table.from_batches([out])
 
@@ -188,10 +199,8 @@ def _merge(batches):
 
 
 def attach(docs: DataFrame, places: DataFrame, how: str, key: str = "k", runs: str = "runs") -> DataFrame:
-    """Documents with their runs (columns named key and runs); the runs are broadcast if they are small."""
-    size = places.agg(F.coalesce(F.sum(F.octet_length("runs") + 64), F.lit(0))).first()[0]
-    places = places.withColumnsRenamed({"k": key, "runs": runs})
-    return docs.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, key, how)
+    """Documents with their runs (columns named key and runs). Runs grow with the documents, so both sides are shuffled, at every size."""
+    return docs.join(places.withColumnsRenamed({"k": key, "runs": runs}).hint("merge"), key, how)
 
 
 def repeated_windows(docs: DataFrame, width: int, shortest: int = SHORTEST) -> DataFrame | None:
@@ -203,10 +212,11 @@ def repeated_windows(docs: DataFrame, width: int, shortest: int = SHORTEST) -> D
         density = 2 / (width - length + 2) if before is None else 0.4
         buckets = int(max(12, total / 4 * density / BUCKET_PLACES))
         source = docs.select("k", "text") if before is None else attach(docs.select("k", "text"), places, "inner").select("k", "text", "runs")
-        sent = stored(source.mapInArrow(_places(length, before, width, buckets), "bucket int, keys binary, hashes binary, at binary"), f"substring-{length}")
-        counted = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_count, "k bigint, at binary")
+        sent = stored(source.mapInArrow(_places(length, before, width, buckets), "bucket int, keys binary, hashes binary, second binary, at binary"), f"substring-{length}")
+        counted = sent.where("bucket >= 0").select("bucket", "keys", "hashes", "second", "at").groupBy("bucket").applyInArrow(_count, "k bigint, at binary")
         known = sent.where("bucket < 0").select("keys", "at").mapInArrow(_known, "k bigint, at binary")
-        places = stored(counted.union(known).groupBy("k").agg(F.collect_list("at").alias("at")).mapInArrow(_merge, PLACES), f"places-{length}")
+        last, places = places, stored(counted.union(known).groupBy("k").agg(F.collect_list("at").alias("at")).mapInArrow(_merge, PLACES), f"places-{length}")
+        discard(sent, last)
         if places.isEmpty():
             return None
         before = length
@@ -233,7 +243,8 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTES
 
     A word goes if it lies in a window of width words whose sequence also starts anywhere else, in the same
     document or another. Texts without repeats keep all words (with_text: the text as it was). Null and empty texts, and those of fewer
-    than width words, keep all; rows repeated with one id and text count as two documents.
+    than width words, keep all; rows repeated with one id and text count as two documents. Texts of any length are read whole, one in
+    one task. Columns other than the id and the text are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = keyed(docs, doc_id, text)
