@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,8 +107,16 @@ def _correlation(a, b):
     return F.when(n == 0, 0.0).when(d <= 2.220446049250313e-16, F.when(a == b, 0.0).otherwise(1.0)).otherwise(1.0 - r)
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """body of a struct of values, each of which is evaluated once; a sum used inside a lambda would be summed for every element."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def _masses(a, b, zero_both, zero_one, value):
-    sa, sb = _one(a, lambda x: x), _one(b, lambda x: x)
+    return let({"sa": _one(a, lambda x: x), "sb": _one(b, lambda x: x)}, lambda s: _of_masses(a, b, s["sa"], s["sb"], zero_both, zero_one, value))
+
+
+def _of_masses(a, b, sa, sb, zero_both, zero_one, value):
     return F.when(_no_mass(a) | _no_mass(b), INF).when((sa <= 0) & (sb <= 0), zero_both).when((sa <= 0) | (sb <= 0), zero_one).otherwise(value(sa, sb))
 
 
@@ -133,7 +143,8 @@ def _jensen_shannon(a, b):
         return F.when(p > 0, 0.5 * p * F.ln(p / m)).otherwise(0.0)
 
     def value(sa, sb):
-        return F.sqrt(F.greatest(_pairs(a, b, lambda x, y: term(x / sa, (x / sa + y / sb) / 2) + term(y / sb, (x / sa + y / sb) / 2)), F.lit(0.0)))
+        shares = F.zip_with(a, b, lambda x, y: F.struct((x / sa).alias("p"), (y / sb).alias("q"), ((x / sa + y / sb) / 2).alias("m")))
+        return F.sqrt(F.greatest(_sum(F.transform(shares, lambda s: term(s["p"], s["m"]) + term(s["q"], s["m"]))), F.lit(0.0)))
 
     return _masses(a, b, 0.0, math.sqrt(math.log(2)), value)
 
@@ -191,3 +202,122 @@ def pack_bits(a: Column, dim: int, threshold: float = 0.5) -> Column:
 
 def packed_hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def _packed(a: Column, b: Column, f) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(f(x, y)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def packed_jaccard(a: Column, b: Column) -> Column:
+    """1 - shared bits / bits of either; 0 without bits."""
+    both, either = _packed(a, b, lambda x, y: x.bitwiseAND(y)), _packed(a, b, lambda x, y: x.bitwiseOR(y))
+    return F.when(either == 0, 0.0).otherwise(1.0 - both / either)
+
+
+def packed_dice(a: Column, b: Column) -> Column:
+    """1 - 2 * shared bits / all bits; 0 without bits."""
+    both, total = _packed(a, b, lambda x, y: x.bitwiseAND(y)), _packed(a, b, lambda x, y: x) + _packed(a, b, lambda x, y: y)
+    return F.when(total == 0, 0.0).otherwise(1.0 - 2.0 * both / total)
+
+
+def hamming_bytes(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of bytes (numbers from 0 to 255)."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.cast("int").bitwiseXOR(y.cast("int"))).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def mass_statistics(a: Column) -> Column:
+    """struct(inv_mass, entropy) of a distribution: what the Jensen-Shannon distance needs of a row, to be kept as columns; null without mass."""
+    v = _doubles(a)
+    return let({"s": _one(v, lambda x: x)}, lambda m: F.when(_no_mass(v) | (m["s"] <= 0), None).otherwise(F.struct((1.0 / m["s"]).alias("inv_mass"), _one(v, lambda x: F.when(x > 0, x / m["s"] * F.ln(x / m["s"])).otherwise(0.0)).alias("entropy"))))
+
+
+def compute_distance(a, b, metric: str = "ip") -> float:
+    """The distance of two vectors on the driver."""
+    name = resolve(metric)
+    x, y = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    if x.shape != y.shape or x.ndim != 1:
+        raise ValueError("two vectors of one length are needed")
+    with np.errstate(all="ignore"):
+        return float(_NUMPY[name](x, y))
+
+
+def _np_cosine(x, y):
+    d = math.sqrt((x @ x) * (y @ y))
+    return 1.0 if d < 1e-30 else 1.0 - x @ y / d
+
+
+def _np_overlap(x, y):
+    p, q = x > 0.5, y > 0.5
+    return 1.0 - (p & q).sum() / (p | q).sum() if (p | q).any() else 0.0
+
+
+def _np_dice(x, y):
+    p, q = x > 0.5, y > 0.5
+    return 1.0 - 2.0 * (p & q).sum() / (p.sum() + q.sum()) if p.any() or q.any() else 0.0
+
+
+def _np_haversine(x, y):
+    if len(x) != 2 or not np.isfinite([*x, *y]).all() or max(abs(x[1]), abs(y[1])) > 90:
+        return INF
+    (lon1, lat1), (lon2, lat2) = np.radians(x), np.radians(y)
+    h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(math.sqrt(min(max(h, 0.0), 1.0)))
+
+
+def _np_correlation(x, y):
+    if not len(x):
+        return 0.0
+    p, q = x - x.mean(), y - y.mean()
+    d = math.sqrt((p @ p) * (q @ q))
+    return (0.0 if (x == y).all() else 1.0) if d <= 2.220446049250313e-16 else 1.0 - min(max(p @ q / d, -1.0), 1.0)
+
+
+def _np_masses(zero_both, zero_one, value):
+    def run(x, y):
+        if not np.isfinite([*x, *y]).all() or min([*x, *y, 0.0]) < 0:
+            return INF
+        if x.sum() <= 0 or y.sum() <= 0:
+            return zero_both if x.sum() <= 0 and y.sum() <= 0 else zero_one
+        return value(x / x.sum(), y / y.sum())
+
+    return run
+
+
+def _np_jensen_shannon(p, q):
+    m = (p + q) / 2
+    return math.sqrt(max(sum((0.5 * v[v > 0] * np.log(v[v > 0] / m[v > 0])).sum() for v in (p, q)), 0.0))
+
+
+def _np_bray_curtis(x, y):
+    top, low = np.abs(x - y).sum(), np.abs(x + y).sum()
+    return top / low if low else (0.0 if not top else INF)
+
+
+_NUMPY = {
+    "ip": lambda x, y: x @ y,
+    "l2": lambda x, y: ((x - y) ** 2).sum(),
+    "cosine": _np_cosine,
+    "hamming": lambda x, y: ((x > 0.5) != (y > 0.5)).sum(),
+    "jaccard": _np_overlap,
+    "tanimoto": _np_overlap,
+    "l1": lambda x, y: np.abs(x - y).sum(),
+    "haversine": _np_haversine,
+    "correlation": _np_correlation,
+    "hellinger": _np_masses(0.0, 1.0, lambda p, q: math.sqrt(1.0 - min(max(np.sqrt(p * q).sum(), 0.0), 1.0))),
+    "wasserstein": _np_masses(0.0, INF, lambda p, q: np.abs(np.cumsum(p - q))[:-1].sum()),
+    "dice": _np_dice,
+    "jensen_shannon": _np_masses(0.0, math.sqrt(math.log(2)), _np_jensen_shannon),
+    "chebyshev": lambda x, y: np.abs(x - y).max(initial=0.0),
+    "canberra": lambda x, y: np.nan_to_num(np.abs(x - y) / (np.abs(x) + np.abs(y)), nan=0.0).sum(),
+    "bray_curtis": _np_bray_curtis,
+}
+
+
+def register(spark) -> None:
+    """compute_distance(a, b, metric) for SQL, in Arrow batches; null with a null or with lengths that differ."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series, metric: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None or m is None or len(x) != len(y) else compute_distance(x, y, m) for x, y, m in zip(a, b, metric)], dtype="float64")
+
+    spark.udf.register("compute_distance", run)

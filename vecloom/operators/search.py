@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.metrics import ascending, distance, vector
+from ..functions.metrics import ascending, distance, resolve, vector
 from ..plans.where import apply_where
 
 #: Bytes of query vectors that are broadcast at once; larger query sets go in blocks.
@@ -37,19 +43,22 @@ def topk(df: DataFrame, query, k: int = 10, metric: str = "ip", where: str | Non
     return best
 
 
-def range_search(df: DataFrame, query, threshold: float, metric: str = "l2", max_results: int = 1000, id_: str = "id", vec: str = "vector") -> DataFrame:
-    """Rows within the threshold (at least it, for the inner product), nearest first, max_results at most."""
-    scored = df.select(F.col(id_), distance(metric, F.col(vec), vector(query)).alias("score"))
+def range_search(df: DataFrame, query, threshold: float, metric: str = "l2", max_results: int = 1000, where: str | None = None, deleted: DataFrame | None = None, id_: str = "id", vec: str = "vector") -> DataFrame:
+    """Live rows within the threshold (at least it, for the inner product), nearest first, max_results at most."""
+    rows = without(apply_where(df, where), deleted, id_)
+    scored = rows.select(F.col(id_), distance(metric, F.col(vec), vector(query)).alias("score"))
     inside = F.col("score") <= threshold if ascending(metric) else F.col("score") >= threshold
     return scored.where(inside & ~F.isnan("score")).orderBy(*ordered(metric, id_=id_)).limit(max(0, max_results))
 
 
-def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", where: str | None = None, id_: str = "id", vec: str = "vector", query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
-    """query_id, rank, id, score: the k nearest rows of each query.
+def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", where: str | None = None, deleted: DataFrame | None = None, id_: str = "id", vec: str = "vector", query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
+    """query_id, rank, id, score: the k nearest live rows of each query.
 
-    Queries are broadcast up to QUERY_BYTES; more of them go in blocks of that size, each against all rows.
+    Queries go in blocks of QUERY_BYTES, each against all rows. For inner product, squared distance and cosine a task multiplies its
+    rows by a block's queries, a batch at a time, and gives only its own k best of each query; other metrics are expressions over pairs with
+    the broadcast queries.
     """
-    rows = apply_where(df, where).select(F.col(id_), F.col(vec))
+    rows = without(apply_where(df, where), deleted, id_).select(F.col(id_), F.col(vec))
     q = queries.select(F.col(query_id), F.col(query_vec).alias("_q"))
     size = q.agg(F.coalesce(F.sum(F.size("_q").cast("bigint") * 8), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // QUERY_BYTES))
@@ -57,12 +66,84 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        scored = rows.crossJoin(F.broadcast(part)).select(query_id, id_, distance(metric, F.col(vec), F.col("_q")).alias("score")).where("score is not null")
+        if resolve(metric) in PRODUCTS:
+            scored = products(rows, part, max(0, k), resolve(metric), id_, vec, query_id)
+        else:
+            scored = rows.crossJoin(F.broadcast(part)).select(query_id, id_, distance(metric, F.col(vec), F.col("_q")).alias("score")).where("score is not null")
         best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", id_, "score")
         out = best if out is None else out.union(best)
     return out
 
 
+PRODUCTS = {"ip", "l2", "cosine"}
+
+
+def products(rows: DataFrame, queries: DataFrame, k: int, metric: str, id_: str, vec: str, query_id: str) -> DataFrame:
+    """query_id, id, score: of each task's rows the k best of each query, by matrix products; rows of another length than a query's score nothing."""
+    asked = [(r[query_id], np.array(r._q, np.float64)) for r in queries.collect() if r._q is not None and None not in r._q]  # a block of QUERY_BYTES
+    by_dim: dict[int, list[int]] = {}
+    for i, (_, v) in enumerate(asked):
+        by_dim.setdefault(len(v), []).append(i)
+    sign = 1.0 if ascending(metric) else -1.0
+
+    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if metric == "l2":  # not by the expanded square, which loses digits of near vectors
+            return np.stack([((x - v) ** 2).sum(1) for v in q])
+        s = q @ x.T
+        if metric == "cosine":
+            d = np.sqrt((q**2).sum(1)[:, None] * (x**2).sum(1))
+            s = np.where(d < 1e-30, 1.0, 1.0 - s / np.maximum(d, 1e-300))
+        return s
+
+    def run(batches):
+        held: list[list[tuple]] = [[] for _ in asked]  # (place in the ranking, score, id) arrays of each query
+
+        def cut(i):
+            rank, score, ids = (np.concatenate([h[c] for h in held[i]]) for c in range(3))
+            if len(rank) > k:
+                near = rank <= np.partition(rank, k - 1)[k - 1] if k else np.zeros(len(rank), bool)
+                rank, score, ids = rank[near], score[near], ids[near]
+                order = np.argsort(ids, kind="stable")
+                order = order[np.argsort(rank[order], kind="stable")][:k]
+                rank, score, ids = rank[order], score[order], ids[order]
+            held[i] = [(rank, score, ids)]
+
+        for batch in batches:
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+            for dim, which in by_dim.items():
+                for lo in range(0, batch.num_rows, 4096):
+                    at = lo + np.flatnonzero(sizes[lo : lo + 4096] == dim)
+                    if not len(at):
+                        continue
+                    part = column.take(pa.array(at))
+                    flat = part.flatten()
+                    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                    if flat.null_count:
+                        ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), dim).any(1)
+                        at, x = at[ok], x[ok]
+                    ids = np.array(batch.column(0).take(pa.array(at)).to_pylist(), object)
+                    s = scores(np.array([asked[i][1] for i in which]).reshape(len(which), dim), x)
+                    for i, row in zip(which, s):
+                        rank = np.where(np.isnan(row), np.inf, sign * np.round(row, 9))
+                        if len(rank) > k:
+                            near = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1]) if k else []
+                            held[i].append((rank[near], row[near], ids[near]))
+                        else:
+                            held[i].append((rank, row, ids))
+                        if sum(len(h[0]) for h in held[i]) > 4 * k + 4096:
+                            cut(i)
+        for i, (name, _) in enumerate(asked):
+            if held[i]:
+                cut(i)
+                _, score, ids = held[i][0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), q_type), pa.array(ids.tolist(), id_type), pa.array(score, pa.float64())], [query_id, id_, "score"])
+
+    types = [rows.schema[id_].dataType, queries.schema[query_id].dataType]
+    id_type, q_type = (to_arrow_type(t) for t in types)
+    return rows.mapInArrow(run, f"`{query_id}` {types[1].simpleString()}, `{id_}` {types[0].simpleString()}, score double")
+
+
 def merge_topk(parts: list[DataFrame], k: int, metric: str = "ip", id_: str = "id") -> DataFrame:
     """Merges scored parts: an id counts once, with its best score."""
     every = parts[0]
@@ -77,9 +158,44 @@ def rescore(candidates: DataFrame, df: DataFrame, query, k: int, metric: str, id
     return topk(df.join(F.broadcast(candidates.select(id_).distinct()), id_, "left_semi"), query, k, metric, id_=id_, vec=vec)
 
 
+#: Metrics that the approximate scan knows.
+APPROXIMATE = {"ip", "l2", "cosine", "l1", "chebyshev", "canberra", "bray_curtis"}
+
+
+def checked_eps(metric: str, eps: float) -> float:
+    if resolve(metric) not in APPROXIMATE:
+        raise ValueError(f"{metric} has no approximate scan")
+    if not eps > 0 or eps == float("inf"):
+        raise ValueError("eps must be positive and finite")
+    return float(eps)
+
+
 def approx_rounded(df: DataFrame, query, k: int, metric: str, eps: float = 1e-4, **kw) -> DataFrame:
     """Top-k whose scores are rounded to multiples of eps after ranking."""
-    return topk(df, query, k, metric, **kw).withColumn("score", F.round(F.col("score") / eps) * eps)
+    return topk(df, query, k, metric, **kw).withColumn("score", F.round(F.col("score") / checked_eps(metric, eps)) * eps)
+
+
+def approx_topk(df: DataFrame, query, k: int, metric: str, eps: float = 1e-4, every: int = 2, wide: int = 20, id_: str = "id", vec: str = "vector", where: str | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """A shortlist of wide * k rows (200 at least) by one in `every` dimensions, then the exact k best, their scores rounded to multiples of eps."""
+    checked_eps(metric, eps)
+    rows = without(apply_where(df, where), deleted, id_)
+    keep = list(range(0, len(query), every))
+    few = rows.select(F.col(id_), F.filter(vec, lambda x, i: i % every == 0).alias(vec))
+    short = topk(few, [query[i] for i in keep], max(wide * k, 200), metric, id_=id_, vec=vec)
+    return rescore(short, rows, query, k, metric, id_, vec).withColumn("score", F.round(F.col("score") / eps) * eps)
+
+
+def profile(df: DataFrame, query, k: int = 10, metric: str = "ip", where: str | None = None, deleted: DataFrame | None = None, id_: str = "id", vec: str = "vector") -> dict:
+    """Runs a search and tells rows in the table, rows scored after filter and deletions, results, seconds and the physical plan."""
+    from pyspark.sql import Observation
+
+    seen = Observation("profile")
+    live = without(apply_where(df, where), deleted, id_).observe(seen, F.count(F.lit(1)).alias("scored"))
+    out = topk(live, query, k, metric, id_=id_, vec=vec)
+    began = time.perf_counter()
+    rows = out.collect()  # k rows
+    took = time.perf_counter() - began
+    return {"rows": df.count(), "scored": seen.get["scored"], "results": len(rows), "seconds": took, "plan": out._jdf.queryExecution().explainString(out.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))}
 
 
 def gather(df: DataFrame, ids: list, id_: str = "id") -> DataFrame:
@@ -101,7 +217,12 @@ def tail(df: DataFrame, n: int, seq: str) -> DataFrame:
 
 
 def query(df: DataFrame, where: str | None = None, filter_ids: DataFrame | None = None, id_: str = "id") -> DataFrame:
-    """Rows by filter, else by ids, else none."""
+    """Rows by filter, else by ids (an unknown one is an error), else none."""
     if where is not None:
         return apply_where(df, where)
-    return df.limit(0) if filter_ids is None else df.join(filter_ids.select(id_).distinct(), id_, "left_semi")
+    if filter_ids is None:
+        return df.limit(0)
+    ids = filter_ids.select(id_).distinct()
+    if missing := ids.join(df.select(id_), id_, "left_anti").count():
+        raise KeyError(f"{missing} unknown ids")
+    return df.join(ids, id_, "left_semi")

@@ -1,12 +1,15 @@
-"""BM25 without an exploded posting list: term counts are projections of the token array, statistics one aggregate."""
+"""BM25: over texts, with term counts as projections of the token array, or over a stored index of postings."""
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import let
 from ..plans.where import apply_where
 
 SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
@@ -29,8 +32,17 @@ def query_terms(text: str) -> Counter:
     return out
 
 
-def _is(term: str):
-    return lambda x: x == term
+def _raw(text: Column) -> Column:
+    """The tokens with an empty one at either end, perhaps; no lambda runs over them."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT)
+
+
+def _times(bag: Column, term: str) -> Column:
+    return F.size(bag) - F.size(F.array_remove(bag, term))
+
+
+def idf(n, d: Column) -> Column:
+    return F.ln((n - d + 0.5) / (d + 0.5) + 1.0)
 
 
 def postings(df: DataFrame, fields: list[str], id_: str = "id") -> DataFrame:
@@ -49,10 +61,13 @@ def bm25(df: DataFrame, text: str, k: int = 10, fields: list[str] = ("text",), w
     rows = apply_where(df, where)
     if deleted is not None:
         rows = rows.join(deleted.select(id_).distinct(), id_, "left_anti")
-    bag = F.concat(*[tokens(F.col(f)) for f in fields])
+    bag = F.concat(*[_raw(F.col(f)) for f in fields])
     names = {t: f"_tf{i}" for i, t in enumerate(terms)}
-    counted = rows.select(F.col(id_), bag.alias("_t")).select(F.col(id_), F.size("_t").alias("_len"), *[F.size(F.filter("_t", _is(t))).alias(c) for t, c in names.items()]).where("_len > 0")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_len"), F.lit(0)).alias("len"), *[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in names.values()]).first()
+    # Each text is split once, then counted for each term.
+    counts = let({"t": bag}, lambda s: F.struct(F.size(F.array_remove(s["t"], "")).alias("_len"), *[_times(s["t"], t).alias(c) for t, c in names.items()]))
+    counted = rows.select(F.col(id_), counts.alias("_c")).select(F.col(id_), "_c.*")
+    # No filter on the counts: it would be pushed to the scan, with a second split of each text.
+    stats = counted.agg(F.count(F.when(F.col("_len") > 0, 1)).alias("n"), F.coalesce(F.sum("_len"), F.lit(0)).alias("len"), *[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in names.values()]).first()
     n, average = stats["n"], max(stats["len"] / stats["n"], 1.0) if stats["n"] else 1.0
     df_of = {t: stats[c] for t, c in names.items() if stats[c]}
     if not df_of or k <= 0:
@@ -70,3 +85,93 @@ def bm25(df: DataFrame, text: str, k: int = 10, fields: list[str] = ("text",), w
             some = some | (F.col(names[t]) > 0)
         counted = counted.where(some)
     return counted.select(F.col(id_), score.alias("score")).where("score > 0").orderBy(F.round("score", 9).desc(), id_).limit(k)
+
+
+class TextIndex:
+    """Stored postings: term, id, tf in folders by the term's bucket, and each document's length. A query reads the folders of its terms.
+
+    Maintenance appends: documents are added with their postings, and removed by a table of ids that reading leaves out.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, fields: list[str] = ("text",), id_: str = "id") -> TextIndex:
+        index = cls(df.sparkSession, path)
+        index.add(df, fields, id_)
+        return index
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(TextIndex.BUCKETS)).cast("int")
+
+    def add(self, df: DataFrame, fields: list[str] = ("text",), id_: str = "id") -> None:
+        """Appends documents; ids are new, or were removed before the last vacuum."""
+        bag = F.array_remove(F.concat(*[_raw(F.col(f)) for f in fields]), "")
+        rows = df.select(F.col(id_).alias("id"), bag.alias("t")).where(F.size("t") > 0)
+        rows.select("id", F.size("t").alias("len")).write.mode("append").parquet(f"{self.path}/docs")
+        counted = rows.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        placed = counted.withColumn("bucket", self.bucket(F.col("term")))
+        placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def remove(self, ids: DataFrame, id_: str = "id") -> None:
+        ids.select(F.col(id_).alias("id")).distinct().write.mode("append").parquet(f"{self.path}/removed")
+
+    def _read(self, name: str) -> DataFrame | None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}") if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at) else None
+
+    def search(self, text: str, k: int = 10, allowed: DataFrame | None = None, deleted: DataFrame | None = None, seeding: str = "all", k1: float = K1, b: float = B) -> DataFrame:
+        """id, score of the k best; allowed and deleted (both id) say which documents count, for statistics as well."""
+        terms = query_terms(text)
+        docs, removed = self._read("docs"), self._read("removed")
+        for gone in (removed, deleted):
+            if gone is not None:
+                docs = docs.join(gone.select("id").distinct(), "id", "left_anti")
+        if allowed is not None:
+            docs = docs.join(allowed.select("id").distinct(), "id", "left_semi")
+        if not terms or k <= 0:
+            return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        asked = self.spark.createDataFrame(list(terms.items()), "term string, weight long")
+        buckets = [r[0] for r in asked.select(self.bucket(F.col("term"))).distinct().collect()]
+        hits = self._read("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms))).join(docs, "id")
+        totals = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
+        n, average = totals.n, max(totals.len / totals.n, 1.0) if totals.n else 1.0
+        known = {r.term: r.d for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}  # a row a term of the query
+        if not known:
+            return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+        weights = self.spark.createDataFrame([(t, float(terms[t]), d) for t, d in known.items()], "term string, weight double, d long")
+        tf = F.col("tf").cast("double")
+        part = F.col("weight") * idf(F.lit(n), F.col("d")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / average))
+        scored = hits.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(part).alias("score"), F.collect_set("term").alias("_terms"))
+        if seeding == "selective":
+            limit = max(4 * min(known.values()), 8 * k)
+            seeds = [t for t, d in known.items() if d < n and d <= limit] or list(known)
+            scored = scored.where(F.arrays_overlap("_terms", F.array(*map(F.lit, seeds))))
+        return scored.select("id", "score").where("score > 0").orderBy(F.round("score", 9).desc(), "id").limit(k)
+
+
+def json_text(value: Column) -> Column:
+    """The strings of a JSON text at any depth, in order and joined by spaces; numbers, booleans, nulls and keys are left out, and so is text that isn't JSON."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def strings(x):
+            if isinstance(x, str):
+                yield x
+            elif isinstance(x, list | dict):
+                for y in x.values() if isinstance(x, dict) else x:
+                    yield from strings(y)
+
+        def one(t):
+            try:
+                return None if t is None else " ".join(strings(json.loads(t)))
+            except ValueError:
+                return ""
+
+        return texts.map(one)
+
+    return run(value)

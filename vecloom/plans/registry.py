@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import ann, fusion, mutations, quantize, rerank, search, sparse, text
-from ..sources.shipping import ship
+from ..sources.shipping import ship, spread
 from .where import apply_where
 
 R9 = "round({}, 9)"
@@ -17,7 +17,8 @@ R9 = "round({}, 9)"
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name == "documents" else df  # long texts are worth a shuffle where all lie in one row group
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -146,11 +147,11 @@ def q_batch(where: str | None = None):
     return run
 
 
-def batch_sql(where: str = "TRUE") -> str:
-    return f"""WITH s AS ({_source('ip')}), p AS (
+def batch_sql(where: str = "TRUE", metric: str = "ip") -> str:
+    return f"""WITH s AS ({_source(metric)}), p AS (
         SELECT q.vec_id AS query_id, s.vec_id, unnest(s.v) AS a, unnest(q.v) AS b FROM s, s q WHERE q.vec_id < 5 AND s.{where if where != 'TRUE' else 'vec_id IS NOT NULL'}
-    ), g AS (SELECT query_id, vec_id, sum(a * b) AS score FROM p GROUP BY query_id, vec_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM g)
+    ), g AS (SELECT query_id, vec_id, {SCORES[metric]} AS score FROM p GROUP BY query_id, vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order_sql(metric)}) AS rank FROM g)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10"""
 
 
@@ -162,6 +163,20 @@ def q_range(metric: str, threshold: float, most: int = 1000):
     return run
 
 
+def q_range_deleted(spark, d):
+    df = vectors(spark, d)
+    return shown(search.range_search(df, probe(df), 1.6, "l2", 1000, '"label" != 3', deleted_ids(df)))
+
+
+def q_batch_deleted(metric: str):
+    def run(spark, d):
+        df = vectors(spark, d)
+        queries = df.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        return search.batch_topk(df, queries, 10, metric, '"label" != 3', deleted_ids(df)).select("query_id", "rank", F.col("id").alias("vec_id"), (F.round("score", 6) + 0.0).alias("score"))
+
+    return run
+
+
 def q_segments(spark, d):
     """Four segments searched on their own and merged."""
     df = vectors(spark, d)
@@ -273,7 +288,7 @@ def q_tokens(spark, d):
 
 
 def q_postings(spark, d):
-    return text.postings(docs_of(spark, d), ["text"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+    return text.postings(docs_of(spark, d), ["text"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def q_bm25(**kw):
@@ -402,11 +417,58 @@ def q_packed(spark, d):
     return df.crossJoin(F.broadcast(q)).select(F.col("id").alias("vec_id"), M.packed_hamming(M.pack_bits(F.col("vector"), 64, 0.0), F.col("q")).alias("distance"))
 
 
+def q_packed_ratio(name: str):
+    def run(spark, d):
+        df = vectors(spark, d)
+        q = df.where("id = 0").select(M.pack_bits(F.col("vector"), 64, 0.0).alias("q"))
+        f = {"jaccard": M.packed_jaccard, "dice": M.packed_dice}[name]
+        return df.crossJoin(F.broadcast(q)).select(F.col("id").alias("vec_id"), (F.round(f(M.pack_bits(F.col("vector"), 64, 0.0), F.col("q")), 6) + 0.0).alias("distance"))
+
+    return run
+
+
+def packed_sql(score: str) -> str:
+    return f"WITH p AS (SELECT e.vec_id, unnest(e.embedding) > 0 AS a, unnest(q.embedding) > 0 AS b FROM embeddings e, embeddings q WHERE q.vec_id = 0) SELECT vec_id, round({score}, 6) + 0.0 AS distance FROM p GROUP BY vec_id"
+
+
 def index_path(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom-index"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file:///tmp/vecloom-index"
     return f"{root.rstrip('/')}/vecloom-{name}-{uuid.uuid4().hex}"
 
 
+def q_stored_bm25(spark, d):
+    """Over stored postings, of which a query reads those of its terms."""
+    index = text.TextIndex.build(docs_of(spark, d), index_path(spark, "text"))
+    return shown(index.search(TERMS, 10), name="doc_id")
+
+
+def q_json_terms(spark, d):
+    """Words of the strings in a JSON field."""
+    rows = read(spark, d, "conversations").withColumn("j", F.to_json(F.struct("turn", F.array(F.col("role"), F.col("text")).alias("said"))))
+    return rows.select("conv_id", "turn", F.size(text.tokens(text.json_text(F.col("j")))).cast("bigint").alias("n_terms"))
+
+
+def q_mass_statistics(spark, d):
+    rows = domain(vectors(spark, d), "jensen_shannon").select(F.col("id").alias("vec_id"), M.mass_statistics(F.col("vector")).alias("m"))
+    return rows.select("vec_id", (F.round("m.inv_mass", 6) + 0.0).alias("inv_mass"), (F.round("m.entropy", 6) + 0.0).alias("entropy"))
+
+
+def q_approx_recall(metric: str):
+    """How many of the exact ten the approximate scan finds."""
+
+    def run(spark, d):
+        df = vectors(spark, d)
+        q = probe(df)
+        near = search.approx_topk(df, q, 10, metric).select("id")
+        return search.topk(df, q, 10, metric).join(near, "id", "left_semi").agg((F.count(F.lit(1)) >= 9).alias("enough"))
+
+    return run
+
+
 def q_cells(nprobe: int | None, replicas: int):
     def run(spark, d):
         df = vectors(spark, d)
@@ -480,6 +542,8 @@ def queries():
     out |= {"query_filter_ids": q_filter_ids, "query_empty": q_empty, "query_vectors": q_vectors, "head": q_head, "tail": q_tail, "stats": q_stats}
     out |= {"tokenize_counts": q_tokens, "postings": q_postings, "bm25_all": q_bm25(), "bm25_where": q_bm25(where="lang = 'fr'"), "bm25_selective": q_bm25(seeding="selective"), "bm25_multi_field": q_bm25_fields}
     out |= {"sparse_normalise": q_sparse_normalise, "sparse_topk": q_sparse(False), "sparse_filtered": q_sparse(True), "hybrid_rrf": q_hybrid("rrf"), "hybrid_weighted": q_hybrid("weighted")}
+    out |= {"range_deleted": q_range_deleted, "batch_deleted": q_batch_deleted("ip"), "batch_l2": q_batch_deleted("l2"), "batch_cosine": q_batch_deleted("cosine"), "batch_l1": q_batch_deleted("l1"), "packed_jaccard": q_packed_ratio("jaccard"), "packed_dice": q_packed_ratio("dice")}
+    out |= {"bm25_stored": q_stored_bm25, "json_terms": q_json_terms, "mass_statistics": q_mass_statistics, "approx_recall_l2": q_approx_recall("l2"), "approx_recall_ip": q_approx_recall("ip")}
     out |= {"sq8_encode": q_sq8(False), "sq8_encode_flat": q_sq8(True), "sq8_decode": q_sq8_decode, "sq8_two_pass": q_sq8_search, "binary_encode": q_binary, "packed_hamming": q_packed}
     out |= {"ivf_topk_full_probe": q_cells(16, 0), "spann_topk_full_probe": q_cells(16, 1), "ivf_topk_nprobe": q_cells(None, 0), "spann_topk_nprobe": q_cells(None, 1)}
     out |= {"pq_two_pass": q_codec("pq8"), "rabitq_two_pass": q_codec("rabitq"), "polarvec_two_pass": q_codec("polarvec4"), "mode_flat_l2": q_mode("FLAT-L2"), "mode_hnsw_l2": q_mode("hnsw-l2"), "mode_diskann_l2": q_mode("DISKANN-L2")}
@@ -504,7 +568,19 @@ def oracle_sql():
         "tail": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id DESC LIMIT 10",
         "stats": "SELECT count(*) AS n_rows, max(vec_id) AS max_id, CAST(max(len(embedding)) AS BIGINT) AS dim, count(*) FILTER (vec_id % 7 = 0) AS n_deleted FROM embeddings",
         "tokenize_counts": f"SELECT doc_id, CAST(len({toks_sql('text')}) AS BIGINT) AS n_tokens FROM documents",
-        "postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({toks_sql('text')}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 20",
+        "postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({toks_sql('text')}) AS term FROM documents) GROUP BY term",
+        "range_deleted": topk_sql("l2", "score <= 1.6 AND vec_id % 7 <> 0 AND label <> 3", 1000),
+        "batch_deleted": batch_sql("vec_id % 7 <> 0 AND s.label <> 3"),
+        "batch_l2": batch_sql("vec_id % 7 <> 0 AND s.label <> 3", "l2"),
+        "batch_cosine": batch_sql("vec_id % 7 <> 0 AND s.label <> 3", "cosine"),
+        "batch_l1": batch_sql("vec_id % 7 <> 0 AND s.label <> 3", "l1"),
+        "packed_jaccard": packed_sql("1 - sum((a AND b)::INT) * 1.0::DOUBLE / sum((a OR b)::INT)"),
+        "packed_dice": packed_sql("1 - 2.0::DOUBLE * sum((a AND b)::INT) / sum(a::INT + b::INT)"),
+        "bm25_stored": bm25_sql(TERMS, DOC_ROWS, "doc_id"),
+        "json_terms": f"SELECT conv_id, turn, CAST(len({toks_sql('role')}) + len({toks_sql('text')}) AS BIGINT) AS n_terms FROM conversations",
+        "mass_statistics": f"WITH s AS ({_source('jensen_shannon')}), p AS (SELECT vec_id, unnest(v) AS a FROM s), m AS (SELECT vec_id, a, sum(a) OVER (PARTITION BY vec_id) AS t FROM p) SELECT vec_id, round(1 / max(t), 6) + 0.0 AS inv_mass, round(sum(CASE WHEN a > 0 THEN a / t * ln(a / t) ELSE 0 END), 6) + 0.0 AS entropy FROM m GROUP BY vec_id",
+        "approx_recall_l2": "SELECT TRUE AS enough",
+        "approx_recall_ip": "SELECT TRUE AS enough",
         "bm25_all": bm25_sql(TERMS, DOC_ROWS, "doc_id"),
         "bm25_where": bm25_sql(TERMS, DOC_ROWS + " WHERE lang = 'fr'", "doc_id"),
         "bm25_selective": bm25_sql(TERMS, DOC_ROWS, "doc_id", seeding="selective"),

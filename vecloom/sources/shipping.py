@@ -28,3 +28,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
+
+
+def spread(df):
+    """df in as many partitions as there are task slots, if a few files with few row groups give it less than half of them.
+
+    Large tables have more partitions than slots and stay as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < slots else df
