@@ -161,11 +161,78 @@ def test_language_scores(spark):
     assert ngram_lm.score_documents(df.limit(0)).count() == 0
 
 
+def interpolated(docs, rounds=ngram_lm.ROUNDS):
+    """Scores by the definition: exact counts, EM token by token. docs: (id, text)."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    toks = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), "</s>"] for _, t in docs]
+    rest = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 for i, _ in docs]
+
+    def counts(keep):
+        word, pair, starts = Counter(), Counter(), 0
+        for t, r in zip(toks, rest):
+            if keep(r):
+                word.update(t[1:])
+                pair.update(zip(t, t[1:]))
+                starts += 1
+        n, v = sum(word.values()), len(word)
+        context = lambda x: starts if x == "<s>" else word[x]
+        return lambda a, b: (context(a), pair[a, b] / context(a) if context(a) else 0.0, word[b] / max(n, 1), 1 / (v + 1))
+
+    bucket = lambda c: min(ngram_lm.CONTEXTS - 1, c.bit_length())
+    kept, every = counts(lambda r: r > 1), counts(lambda r: r > 0)
+    held = {}
+    for t, r in zip(toks, rest):
+        if r == 1:
+            for a, b in zip(t, t[1:]):
+                c, *p = kept(a, b)
+                held.setdefault(bucket(c), []).append(p)
+    weights = {}
+    for b, ps in held.items():
+        ps, w = np.array(ps), np.full(3, 1 / 3)
+        for _ in range(rounds):
+            each = w * ps
+            w = np.maximum((each / each.sum(1)[:, None]).mean(0), 1e-6)
+            w /= w.sum()
+        weights[b] = w
+    out = []
+    for t in toks:
+        total = 0.0
+        for a, b in zip(t, t[1:]):
+            c, *p = every(a, b)
+            w = weights[min(weights, key=lambda x: (abs(x - bucket(c)), x))] if weights else np.full(3, 1 / 3)
+            total += math.log10(w @ np.array(p))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [8 << 20, 900])
+def test_interpolated_scores_by_brute_force(spark, chunk):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    chain = {w: rng.choice(words, 5).tolist() for w in words}
+    docs = []
+    for i in range(150):
+        w = [words[int(rng.integers(300))]]
+        for _ in range(int(rng.integers(5, 60))):
+            w.append(chain[w[-1]][int(rng.integers(5))] if rng.random() < 0.8 else words[min(299, int(rng.exponential(40)))])
+        docs.append((i, " ".join(w)))
+    docs += [(900, None), (901, ""), (902, docs[3][1]), (903, "unseen words only"), (5, "The W1 w2")]
+    want = interpolated(docs)
+    rows = ngram_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=chunk).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.score, r.n_tokens))
+    for (i, _), s in zip(docs, want):
+        assert any(abs(x - s) <= 0.002 * n for x, n in got[i]), (i, s, got[i])
+
+
 def test_interpolation_weights():
-    cells = np.zeros((ngram_lm.CONTEXTS, ngram_lm.GRID + 1, ngram_lm.GRID + 1))
-    cells[3, 40, 10], cells[3, 0, 10] = 90, 10
-    w = ngram_lm.learn(cells, 1e-6)
+    side = ngram_lm.GRID + 1
+    cells = np.array([(3 * side + 40) * side + 10, 3 * side * side + 10])
+    at = np.array([[90, 90 * -1.0, 90 * -4.0], [10, 0.0, 10 * -4.0]])
+    w = ngram_lm.learn(cells, at, 1e-6)
     assert abs(w.sum(1) - 1).max() < 1e-9 and w[3, 0] > 0.8 and (w[4] == w[3]).all()
+    assert (ngram_lm.learn(np.zeros(0, np.int64), np.zeros((0, 3)), 1e-6) == 1 / 3).all()
 
 
 def test_language_id(spark):
