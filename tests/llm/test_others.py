@@ -249,6 +249,16 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(spark.createDataFrame(ask, "doc_id long, text string, x string"), nothing).collect()} == {"und"}
 
 
+def test_letters():
+    """Words are runs of letters by category, for both patterns."""
+    import unicodedata
+
+    for c in [*map(chr, range(1, 0x3000)), "①", "Ⅷ", "日", "𝟙", "𝔸", "〇", "一"]:
+        letter = any(unicodedata.category(x)[0] == "L" for x in c.lower())
+        assert bool(language_id.words_of(f" {c} ")) == letter, hex(ord(c))
+        assert bool(language_id.words_of(f" {c} \u3000")) == letter
+
+
 def test_viterbi():
     rng = np.random.default_rng(5)
     texts = [rng.normal(size=(n, 3)).astype(np.float32) for n in (1, 5, 0, 7, 6)]

@@ -25,6 +25,8 @@ from .common import batches_by_bytes, category_ranges, memo, table
 
 #: Runs of letters: \\w has numbers of all kinds (½, ②, Ⅷ) besides, which are no letters.
 WORD = re.compile(rf"[^\W_{category_ranges('N')}]+")
+#: The same for texts below U+0250, with a class that is a small bitmap.
+LATIN_TEXT, LATIN_WORD = re.compile(r"[\x00-ɏ]*\Z"), re.compile(r"[^\W\d_²³¹¼½¾]+")
 UNKNOWN = "und"
 #: Labelled documents to fit on and bytes of their texts, at most (one document is taken whatever its length), and characters of a gram.
 SAMPLE_DOCS, SAMPLE_BYTES, GRAM = 5_000, 64 << 20, 3
@@ -42,6 +44,12 @@ SCRIPTS = [
 _FIRST = [a for a, _ in SCRIPTS]
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a lower-cased text."""
+    text = (text or "").lower()
+    return (LATIN_WORD if LATIN_TEXT.match(text) else WORD).findall(text)
+
+
 def scripts(word: str) -> set[str]:
     return {SCRIPTS[bisect_right(_FIRST, ord(c)) - 1][1] for c in word}
 
@@ -119,7 +127,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = S
         words: dict[str, Counter] = {}
         for batch in batches:
             for lang_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang_, Counter()).update(WORD.findall(text_.lower()))
+                words.setdefault(lang_, Counter()).update(words_of(text_))
         rows = []
         for a, c in words.items():
             spelled, seen = Counter(), Counter()
@@ -208,7 +216,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH, doc_id: str
         cache = memo(name, lambda: ScoreCache(Model(*box.value)))
         own = cache.model
         for batch in batches_by_bytes(batches, 1, BATCH_BYTES):
-            texts = [WORD.findall((x or "").lower()) for x in batch.column(1).to_pylist()]
+            texts = list(map(words_of, batch.column(1).to_pylist()))
             scores = cache.of(texts) if own.langs else []
             paths = viterbi(scores, penalty) if own.langs else [np.zeros(0, np.int8)] * len(texts)
             pred, share, spans = [], [], []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, fresh, memo, stored
 from .decontaminate import cut_spans, find_contamination
-from .language_id import BATCH_BYTES, SWITCH, WORD, Model, ScoreCache, train, viterbi
+from .language_id import BATCH_BYTES, SWITCH, Model, ScoreCache, train, viterbi, words_of
 from .simhash_dedup import near_duplicates, small
 from .substring_dedup import CHUNK_BYTES, WIDTH, attach, kept_words, repeated_windows
 
@@ -44,7 +44,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, penalty: float =
     def run(batches):
         cache = memo(name, lambda: ScoreCache(Model(*box.value)))
         for batch in batches_by_bytes(batches, at, BATCH_BYTES):
-            texts = [WORD.findall((x or "").lower()) for x in batch.column(at).to_pylist()]
+            texts = list(map(words_of, batch.column(at).to_pylist()))
             keep = []
             # Nothing learned (no labelled text): every text with a letter is kept.
             paths = viterbi(cache.of(texts), penalty) if box.value[0] else [np.zeros(len(ws), np.int8) for ws in texts]
