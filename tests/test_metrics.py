@@ -39,3 +39,30 @@ def test_packed_hamming_is_hamming(spark):
 def test_unknown_metric():
     with pytest.raises(ValueError):
         M.resolve("nearest")
+
+
+def test_numpy_and_sql_function_agree_with_expressions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    pairs = [(rng.random(6), rng.random(6)) for _ in range(5)] + [(np.zeros(6), np.zeros(6)), (np.zeros(6), rng.random(6)), (np.ones(6), np.ones(6)), (-rng.random(6), rng.random(6))]
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in pairs], "a array<double>, b array<double>")
+    M.register(spark)
+    df.createOrReplaceTempView("pairs_of_vectors")
+    for metric in M.METRICS:
+        if metric == "haversine":
+            continue
+        rows = df.select("a", "b", M.distance(metric, F.col("a"), F.col("b")).alias("d")).collect()
+        for r in rows:
+            want = M.compute_distance(r.a, r.b, metric)
+            assert r.d == want or abs(r.d - want) < 1e-7, (metric, r)
+        sql = spark.sql(f"select compute_distance(a, b, '{metric}') as d from pairs_of_vectors").collect()
+        assert all(s.d == r.d or abs(s.d - r.d) < 1e-7 for s, r in zip(sql, rows))
+    with pytest.raises(ValueError):
+        M.compute_distance([1.0], [1.0, 2.0])
+
+
+def test_packed_and_bytes(spark):
+    df = spark.createDataFrame([([1, 0], [3, 4], [255, 1], [0, 3]), ([0, 0], [0, 0], [0, 0], [0, 0])], "a array<long>, b array<long>, x array<int>, y array<int>")
+    got = df.select(M.packed_jaccard(F.col("a"), F.col("b")).alias("j"), M.packed_dice(F.col("a"), F.col("b")).alias("d"), M.hamming_bytes(F.col("x"), F.col("y")).alias("h")).collect()
+    assert abs(got[0].j - 2 / 3) < 1e-12 and abs(got[0].d - 0.5) < 1e-12 and got[0].h == 9 and (got[1].j, got[1].d, got[1].h) == (0.0, 0.0, 0)

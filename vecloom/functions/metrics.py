@@ -184,8 +184,8 @@ def vector(values) -> Column:
 
 
 def distance(metric: str, a: Column, b: Column) -> Column:
-    """The distance of two numeric array columns; null if either is null."""
-    return _BODY[resolve(metric)](_doubles(a), _doubles(b))
+    """The distance of two numeric array columns; null if either is null or their lengths differ."""
+    return F.when(F.size(a) == F.size(b), _BODY[resolve(metric)](_doubles(a), _doubles(b)))
 
 
 def pack_bits(a: Column, dim: int, threshold: float = 0.5) -> Column:

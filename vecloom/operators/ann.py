@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import ALIASES, resolve
 from .quantize import _sample, kmeans, two_pass
-from .search import topk
+from .search import ordered, topk
 
 FAMILIES = ("FLAT", "HNSW", "IVF", "SPANN", "DISKANN")
 BINARY = {"hamming", "jaccard", "tanimoto", "dice"}
@@ -64,24 +65,45 @@ def build_options(family: str, options: dict) -> dict:
 
 @dataclass
 class Cells:
-    """An index: centroids, and rows in a table partitioned by cell. replicas > 1 puts a row into further near cells."""
+    """An index: centroids, and rows in a table partitioned by cell. replicas > 1 puts a row into further near cells.
+
+    Centroids, metric and rows a cell lie beside the table in index.json, so that an index is opened by its path.
+    """
 
     path: str
     centroids: np.ndarray
     metric: str
     id_: str
     vec: str
+    replicas: int
+    sizes: list[int]
 
     @classmethod
     def build(cls, df: DataFrame, path: str, metric: str = "l2", n_cells: int = 16, replicas: int = 0, id_: str = "id", vec: str = "vector") -> Cells:
         """Centroids are fitted on a bounded sample, every row is indexed."""
-        c = kmeans(_sample(df, id_, vec), n_cells)
-        index = cls(path, c, resolve(metric), id_, vec)
-        index._assigned(df, replicas).write.partitionBy("cell").parquet(path)
+        spark = df.sparkSession
+        c = kmeans(_sample(df, id_, vec), n_cells) if not df.isEmpty() else np.zeros((1, 0))
+        index = cls(path, c, resolve(metric), id_, vec, replicas, [])
+        index._assigned(df).write.partitionBy("cell").parquet(f"{path}/rows")
+        index._count(spark)
         return index
 
-    def _assigned(self, df: DataFrame, replicas: int) -> DataFrame:
-        c = self.centroids
+    @classmethod
+    def open(cls, spark, path: str) -> Cells:
+        about = json.loads(spark.read.text(f"{path}/index.json", wholetext=True).first()[0])
+        return cls(path, np.array(about.pop("centroids")), **about)
+
+    def _count(self, spark) -> None:
+        rows = {r.cell: r["count"] for r in self.rows(spark).groupBy("cell").count().collect()}  # a row a cell
+        self.sizes = [rows.get(i, 0) for i in range(len(self.centroids))]
+        about = {"centroids": self.centroids.tolist(), "metric": self.metric, "id_": self.id_, "vec": self.vec, "replicas": self.replicas, "sizes": self.sizes}
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/index.json")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(json.dumps(about).encode()))
+        out.close()
+
+    def _assigned(self, df: DataFrame) -> DataFrame:
+        c, replicas = self.centroids, self.replicas
 
         @F.pandas_udf("array<int>")
         def cells(v: pd.Series) -> pd.Series:
@@ -96,26 +118,45 @@ class Cells:
 
         return df.select(self.id_, self.vec, F.explode(cells(F.col(self.vec))).alias("cell"))
 
-    def insert(self, df: DataFrame, replicas: int = 0) -> None:
-        self._assigned(df, replicas).write.mode("append").partitionBy("cell").parquet(self.path)
-
-    def probe(self, query, nprobe: int | None = None) -> list[int]:
+    def rows(self, spark) -> DataFrame:
+        """All rows with their cell, less the removed ones."""
+        out = spark.read.parquet(f"{self.path}/rows")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/removed")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            out = out.join(spark.read.parquet(f"{self.path}/removed").distinct(), self.id_, "left_anti")
+        return out
+
+    def insert(self, df: DataFrame) -> None:
+        """Appends rows of new ids to their cells."""
+        self._assigned(df).write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
+        self._count(df.sparkSession)
+
+    def remove(self, ids: DataFrame) -> None:
+        """Leaves ids out from now on; an id that was removed comes back by building the index anew."""
+        ids.select(self.id_).distinct().write.mode("append").parquet(f"{self.path}/removed")
+        self._count(ids.sparkSession)
+
+    def probe(self, query, nprobe: int | None = None, least: int = 1) -> list[int]:
+        """The nprobe nearest cells, and as many more as it takes until they hold `least` rows."""
         if nprobe is None:
             nprobe = math.ceil(PROBED * len(self.centroids))
         q = np.asarray(query, float)
         d = ((self.centroids - q) ** 2).sum(1) if self.metric != "ip" else -(self.centroids @ q)
-        return np.argsort(d, kind="stable")[:nprobe].tolist()
-
-    def search(self, spark, query, k: int = 10, nprobe: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
-        """The k nearest rows of the probed cells; all cells where those hold fewer than k."""
-        every = spark.read.parquet(self.path)
-        if allowed is not None:
-            every = every.join(allowed.select(self.id_).distinct(), self.id_, "left_semi")
-        cells = self.probe(query, nprobe)
-        rows = every.where(F.col("cell").isin(cells))
-        if len(cells) < len(self.centroids) and rows.select(self.id_).distinct().limit(k).count() < k:
-            rows = every
-        return topk(rows.dropDuplicates([self.id_]), query, k, self.metric, id_=self.id_, vec=self.vec)
+        order = np.argsort(d, kind="stable").tolist()
+        held = np.cumsum([self.sizes[i] for i in order])
+        return order[: max(nprobe, 1 + int(np.searchsorted(held, least)))]
+
+    def search(self, spark, query, k: int = 10, nprobe: int | None = None, allowed: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+        """The k nearest rows of the probed cells, of which there are enough for k rows; with a filter all cells are read."""
+        rows = self.rows(spark)
+        if allowed is None and deleted is None:
+            rows = rows.where(F.col("cell").isin(self.probe(query, nprobe, k * (self.replicas + 1))))
+        for ids, how in ((allowed, "left_semi"), (deleted, "left_anti")):
+            if ids is not None:
+                rows = rows.join(ids.select(self.id_).distinct(), self.id_, how)
+        # A row is in replicas + 1 cells at most, so the k best are among so many rows; repeats are dropped from those alone.
+        best = topk(rows, query, k * (self.replicas + 1), self.metric, id_=self.id_, vec=self.vec)
+        return best if not self.replicas else best.groupBy(self.id_).agg(F.first("score").alias("score")).orderBy(*ordered(self.metric, id_=self.id_)).limit(k)
 
 
 def search_mode(df: DataFrame, mode: str, query, k: int, path: str | None = None, id_: str = "id", vec: str = "vector", **options) -> DataFrame:
@@ -132,5 +173,15 @@ def search_mode(df: DataFrame, mode: str, query, k: int, path: str | None = None
         return topk(df, query, k, m.metric, id_=id_, vec=vec)
     if path is None:
         raise ValueError("an index needs a path in shared storage")
-    index = Cells.build(df, path, m.metric, opts.get("n_cells", 16), opts.get("replicas", 1 if m.family == "SPANN" else 0), id_, vec)
-    return index.search(df.sparkSession, query, k, opts.get("nprobe") if m.family in ("IVF", "SPANN") else len(index.centroids))
+    return searched(build_mode(df, mode, path, id_, vec, **options), df.sparkSession, mode, query, k, **options)
+
+
+def build_mode(df: DataFrame, mode: str, path: str, id_: str = "id", vec: str = "vector", **options) -> Cells:
+    """The stored index of a mode that has one."""
+    m, opts = parse_mode(mode), build_options(parse_mode(mode).family, options)
+    return Cells.build(df, path, m.metric, opts.get("n_cells", 16), opts.get("replicas", 1 if m.family == "SPANN" else 0), id_, vec)
+
+
+def searched(index: Cells, spark, mode: str, query, k: int, allowed: DataFrame | None = None, deleted: DataFrame | None = None, **options) -> DataFrame:
+    m, opts = parse_mode(mode), build_options(parse_mode(mode).family, options)
+    return index.search(spark, query, k, opts.get("nprobe") if m.family in ("IVF", "SPANN") else len(index.centroids), allowed, deleted)

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ascending, resolve, vector
@@ -124,6 +124,31 @@ class PQ:
         return codes.select(id_, score.alias("score")).orderBy(*ordered(metric, id_=id_)).limit(k)
 
 
+    def batch_shortlist(self, codes: DataFrame, queries: list, k: int, metric: str = "ip", id_: str = "id") -> DataFrame:
+        """query (its place in the list), id, score: the k best by codes of each query. A task looks all queries' tables up for a batch of
+        codes at a time and gives its own k best of each."""
+        q = np.array([np.asarray(x, float) for x in queries]).reshape(len(queries), len(self.books), 1, -1)
+        lut = (self.books * q).sum(3) if resolve(metric) == "ip" else ((self.books - q) ** 2).sum(3)  # queries x parts x 256
+        sign = 1.0 if ascending(metric) else -1.0
+
+        def run(batches):
+            for pdf in batches:
+                c = np.array(pdf["codes"].tolist(), np.int64).reshape(len(pdf), -1)
+                ids = pdf["id"].to_numpy()
+                for n, table in enumerate(lut):
+                    score = sum(table[i][c[:, i]] for i in range(c.shape[1]))
+                    rank = sign * np.round(score, 9)
+                    near = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1]) if len(rank) > k else np.arange(len(rank))
+                    near = near[np.argsort(ids[near], kind="stable")]
+                    near = near[np.argsort(rank[near], kind="stable")][:k]
+                    yield pd.DataFrame({"query": np.full(len(near), n, np.int32), "id": ids[near], "score": score[near]})
+
+        kind = codes.schema[id_].dataType.simpleString()
+        found = codes.select(F.col(id_).alias("id"), "codes").mapInPandas(run, f"query int, id {kind}, score double")
+        w = Window.partitionBy("query").orderBy(*ordered(metric))
+        return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n").withColumnRenamed("id", id_)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of rows, scaled to keep lengths; filled up to a power of two."""
     n = 1 << max(0, x.shape[1] - 1).bit_length()
@@ -184,7 +209,3 @@ def half(df: DataFrame, vec: str = "vector") -> DataFrame:
         return v.map(lambda x: None if x is None else np.asarray(x, np.float16).astype(np.float32))
 
     return df.withColumn(vec, narrow(F.col(vec)))
-
-
-def is_nearer(metric: str):
-    return (lambda a, b: a < b) if ascending(metric) else (lambda a, b: a > b)

@@ -175,9 +175,12 @@ def approx_rounded(df: DataFrame, query, k: int, metric: str, eps: float = 1e-4,
     return topk(df, query, k, metric, **kw).withColumn("score", F.round(F.col("score") / checked_eps(metric, eps)) * eps)
 
 
-def approx_topk(df: DataFrame, query, k: int, metric: str, eps: float = 1e-4, every: int = 2, wide: int = 20, id_: str = "id", vec: str = "vector", where: str | None = None, deleted: DataFrame | None = None) -> DataFrame:
-    """A shortlist of wide * k rows (200 at least) by one in `every` dimensions, then the exact k best, their scores rounded to multiples of eps."""
+def approx_topk(df: DataFrame, query, k: int, metric: str, eps: float = 1e-4, every: int | None = None, wide: int = 20, id_: str = "id", vec: str = "vector", where: str | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """A shortlist of wide * k rows (200 at least) by one in `every` dimensions, then the exact k best, their scores rounded to multiples of eps.
+
+    By default every other dimension is read of 32 or more, and all of fewer, of which a part would tell too little."""
     checked_eps(metric, eps)
+    every = every or (2 if len(query) >= 32 else 1)
     rows = without(apply_where(df, where), deleted, id_)
     keep = list(range(0, len(query), every))
     few = rows.select(F.col(id_), F.filter(vec, lambda x, i: i % every == 0).alias(vec))
