@@ -23,14 +23,12 @@ BLOCK_ROWS, QUERY_ROWS, BANDS = 8192, 4096, 32
 
 
 def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
-    """id, v array<bigint>, norm: of the rows that take part, one for each id (of several, the smallest vector)."""
+    """id, row (a number of its own), v array<bigint>, norm: of the rows that take part."""
     v = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
     finite = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).where(finite)
     return (
-        rows.select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
+        rows.select(F.col(vec_id).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), v.alias("v"))
         .withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
     )
 
@@ -65,12 +63,12 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def pair_topk(q_ids, q, q_least, c_ids, c, basis, k, head):
-    """Rows (query, candidate, score): every candidate of the block that may be among a query's k best."""
+def pair_topk(q_rows, q, q_least, c_ids, c_rows, c, basis, k, head):
+    """Rows (query's row, candidate, score): every candidate of the block that may be among a query's k best."""
     dim = q.shape[1]
     norms = np.sqrt((c.astype(float) ** 2).sum(1))
     order = np.argsort(-norms, kind="stable")
-    c, c_ids, norms = c[order], c_ids[order], norms[order]
+    c, c_ids, c_rows, norms = c[order], c_ids[order], c_rows[order], norms[order]
     qf, cf = q.astype(float), c.astype(float)
     qr, cr = qf @ basis, cf @ basis
     qn = np.sqrt((qf**2).sum(1))
@@ -87,14 +85,14 @@ def pair_topk(q_ids, q, q_least, c_ids, c, basis, k, head):
         if np.isfinite(least) and head < dim:
             at = np.flatnonzero(cr[:reach, :head] @ qr[i, :head] + q_rest[i] * c_rest[:reach] >= least - slack)
         scores = (cf[at] @ qf[i]).astype(np.int64) if exact_floats else (c[at] * q[i]).sum(1)
-        keep = (scores >= least) & (c_ids[at] != q_ids[i])
+        keep = (scores >= least) & (c_rows[at] != q_rows[i])
         at, scores = at[keep], scores[keep]
         if len(at) > k:
             kth = np.partition(scores, len(scores) - k)[len(scores) - k]
             near = scores >= kth
             at, scores = at[near], scores[near]
         top = best(c_ids[at], scores, k)
-        out_q.append(np.full(len(top), q_ids[i]))
+        out_q.append(np.full(len(top), q_rows[i]))
         out_c.append(c_ids[at][top])
         out_s.append(scores[top])
     if not out_q:
@@ -106,8 +104,9 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, vec_id: st
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other rows.
 
     Queries are the rows whose id is divisible by query_every. Ties go to the smaller id. Vectors that are
-    null or hold null or non-finite components, and rows without an id, take no part; of rows with one id
-    the smallest vector counts; a shorter vector counts as filled up with zeros. Scores are 64-bit integers.
+    null or hold null or non-finite components, and rows without an id, take no part. Rows that share an id are
+    rows of their own, as queries and as candidates: only the query's own row is left out. A shorter vector counts as filled up with zeros; scores are
+    64-bit integers. Columns other than the id and the vector are not read.
     """
     spark = vectors.sparkSession
     rows = stored(integer_vectors(vectors, vec_id, vector, scale), "topk-rows")
@@ -127,23 +126,23 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, vec_id: st
     per_band = rows.groupBy(band.alias("band")).count().collect()  # BANDS rows at most
     salts = {r.band: max(1, round(r["count"] / BLOCK_ROWS)) for r in per_band}
     salt_of = F.element_at(F.create_map(*[F.lit(x) for b in sorted(salts) for x in (b, salts[b])]), F.col("band"))
-    blocks = stored(rows.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("id"), salt_of.cast("bigint")).cast("int")), "topk-blocks")
+    blocks = stored(rows.withColumn("band", band).withColumn("salt", F.pmod(F.xxhash64("row"), salt_of.cast("bigint")).cast("int")), "topk-blocks")
     q_blocks = max(1, -(-about.q // QUERY_ROWS))
-    asked = blocks.where(is_query).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"))
+    asked = blocks.where(is_query).select(F.col("id").alias("qid"), F.col("row").alias("qrow"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"), F.pmod(F.xxhash64("row"), F.lit(q_blocks)).cast("int").alias("qb"))
 
     def visit(pairs: DataFrame, queries: DataFrame, every: bool) -> DataFrame:
         """Rows of the given block pairs (qb, band, salt)."""
         left = queries.join(pairs, "qb")
         left = left.select(*(F.col(c).alias(f"a_{c}" if c in ("qb", "band", "salt") else c) for c in left.columns))
         right = blocks.join(pairs, ["band", "salt"])
-        schema = "query_id bigint, vec_id bigint, score bigint"
+        schema = "qrow bigint, vec_id bigint, score bigint"
 
         def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                return pd.DataFrame({"qrow": [], "vec_id": [], "score": []}).astype("int64")
             least = np.full(len(a), -np.inf) if every else a["least"].to_numpy(float)
-            got = pair_topk(a["qid"].to_numpy(), matrix(a["qv"], dim), least, b["id"].to_numpy(), matrix(b["v"], dim), basis, k, head)
-            return pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+            got = pair_topk(a["qrow"].to_numpy(), matrix(a["qv"], dim), least, b["id"].to_numpy(), b["row"].to_numpy(), matrix(b["v"], dim), basis, k, head)
+            return pd.DataFrame({"qrow": got[0], "vec_id": got[1], "score": got[2]})
 
         return left.groupBy("a_qb", "a_band", "a_salt").cogroup(right.groupBy("qb", "band", "salt")).applyInPandas(run, schema)
 
@@ -151,15 +150,16 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, vec_id: st
     first_band = min(salts)
     # The first block: the longest vectors. Its k-th best score of a query is what later blocks have to reach.
     seed = visit(query_parts.select("qb", F.lit(first_band).alias("band"), F.lit(0).alias("salt")), asked, True)
-    least = seed.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).where(F.size("s") >= k).select(F.col("query_id").alias("qid"), F.element_at("s", k).cast("double").alias("least"))
-    asked = stored(asked.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "topk-asked")
+    least = seed.groupBy("qrow").agg(F.sort_array(F.collect_list("score"), False).alias("s")).where(F.size("s") >= k).select("qrow", F.element_at("s", k).cast("double").alias("least"))
+    asked = stored(asked.join(least, "qrow", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "topk-asked")
     # Block pairs that can matter: |q| * max|c| >= least for some query.
     need = asked.groupBy("qb").agg(F.min(F.when(F.col("least") <= 0, 0.0).otherwise(F.col("least") / F.col("qnorm"))).alias("need"))
     longest = blocks.groupBy("band", "salt").agg(F.max("norm").alias("longest"))
     pairs = need.join(F.broadcast(longest) if sum(salts.values()) < 100_000 else longest, F.col("longest") * (1 + 1e-9) >= F.col("need")).select("qb", "band", "salt")
     found = visit(pairs, asked, False)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(asked.select("qrow", F.col("qid").alias("query_id")), "qrow").select("query_id", "rank", "vec_id", "score")
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
