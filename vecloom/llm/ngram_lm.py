@@ -1,13 +1,14 @@
 """Language-model scores by deleted interpolation.
 
-p(w | v) = a * c(v, w) / c(v) + b * c(w) / N + c / (V + 1), where the weights a, b, c depend on the bucket of the context's count c(v)
-(by powers of two) and are learned by expectation-maximisation on held-out counts: a tenth of the training documents is taken out of
-the counts ("deleted"), and the weights are those that make its tokens likeliest under what is left. Scoring then uses the
-counts of all training documents.
+p(w | u, v) = a * c(u, v, w) / c(u, v) + b * c(v, w) / c(v) + d * c(w) / N + e / (V + 1), where the weights depend on the bucket of the context's
+count: that of c(u, v) if the pair was seen, else that of c(v), by powers of two. They are learned by expectation-maximisation on held-out
+counts: a tenth of the training documents is taken out of the counts ("deleted"), and the weights are those that make its tokens likeliest under
+what is left. Scoring then uses the counts of all training documents.
 
-Documents are put in chunks by their ids' hash. A chunk asks for each of its distinct tokens and pairs once, as sorted 64-bit hashes cut into
+Documents are put in chunks by their ids' hash. A chunk asks for each of its distinct tokens, pairs and triples once, as sorted 64-bit hashes cut into
 buckets; a bucket adds up the counts that chunks bring along and answers each with the totals in the order of its question, so
-answers hold no keys and are mostly small numbers. No token comes to a bucket more than once a chunk, however frequent it is.
+answers hold no keys and are mostly small numbers. No n-gram comes to a bucket more than once a chunk, however frequent it is. Tokens and pairs are
+asked for in one round and triples in two more, each a half of the hashes, so that the shuffle files of one round are gone before the next begins.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from .language_id import fold
 CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1_500_000
 ADD = 0.1
-CONTEXTS, GRID, ROUNDS = 24, 120, 60
+CONTEXTS, GRID, ROUNDS = 24, 60, 60
+TRIPLE_ROUNDS = 2
 END, START = U64(0x1E35A7BD5F0C9D21), U64(0x0B4711D2C8E6F3A9)
 SMALL_LOG = -12.0  # of a probability, in the grid of the held-out tokens
+SIDE = GRID + 1
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +59,36 @@ def pairs_of(t: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(before * U64(0x9E3779B97F4A7C15) + t)
 
 
+def triples_of(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of each token with the two before it; a document's first token has one before it, its start, and gets a hash of no meaning."""
+    one, two = np.empty_like(t), np.empty_like(t)
+    one[1:], two[2:] = t[:-1], t[:-2]
+    one[at[:-1]] = START
+    two[:2] = START
+    second = at[:-1] + 1
+    two[second[second < at[1:]]] = START
+    return mix64(mix64(two * U64(0xA0761D6478BD642F) + one) * U64(0xE7037ED1A0B428DB) + t)
+
+
 class Chunk:
-    """Distinct tokens and pairs of a chunk, sorted, with the chunk's own places among them."""
+    """Distinct tokens, pairs and triples of a chunk, sorted, with the chunk's own places among them. Kinds are numbered from 1: tokens,
+    pairs, and triples by the remainder of their hash."""
 
-    def __init__(self, column):
+    def __init__(self, column, kinds):
         self.t, self.at = tokens(lowered(column))
         self.sizes = np.diff(self.at)
-        self.words, self.word = np.unique(self.t, return_inverse=True)
-        self.pairs, self.pair = np.unique(pairs_of(self.t, self.at), return_inverse=True)
+        self.keys: dict[int, np.ndarray] = {}
+        self.index: dict[int, np.ndarray] = {}
+        self.places: dict[int, np.ndarray | slice] = {}
+        triples = triples_of(self.t, self.at) if max(kinds) > 2 else None
+        for kind in kinds:
+            if kind > 2:
+                place = np.flatnonzero(triples % U64(TRIPLE_ROUNDS) == kind - 3)
+                values = triples[place]
+            else:
+                place, values = slice(None), self.t if kind == 1 else pairs_of(self.t, self.at)
+            self.places[kind] = place
+            self.keys[kind], self.index[kind] = np.unique(values, return_inverse=True)
 
 
 def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,21 +107,22 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {1: "u1", 4: "<u4", 8: "<u8"}[len(data) // n] if n else "u1").astype(np.int64)
 
 
-def asked(buckets: int, groups: int):
+def asked(buckets: int, groups: int, kinds: tuple[int, ...]):
     """A chunk's questions: (kind, bucket, chunk, gone, keys, counts), with its own training counts; gone: it is of the deleted part."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         release()
-        c = Chunk(t.column("text"))
+        c = Chunk(t.column("text"), kinds)
         chunk = key[0].as_py()
         training = np.repeat(t.column("part").to_numpy() < 2, c.sizes)
         rows = []
-        for kind, keys, index in ((1, c.words, c.word), (2, c.pairs, c.pair)):
-            counts = np.bincount(index[training], minlength=len(keys))
+        for kind in kinds:
+            keys, index = c.keys[kind], c.index[kind]
+            counts = np.bincount(index[training[c.places[kind]]], minlength=len(keys))
             edge = cuts(keys, buckets)
             rows += [(kind, b, chunk, chunk >= groups, keys[x:y].tobytes(), packed(counts[x:y])) for b, (x, y) in enumerate(zip(edge, edge[1:])) if x < y]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "chunk", "gone", "keys", "counts"])
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["kind", "bucket", "chunk", "gone", "keys", "counts"])
 
     return run
 
@@ -131,18 +157,33 @@ def _answer(t: pa.Table) -> pa.Table:
 
 
 class Counts:
-    """A chunk's answers at its places: c(w), c(v), c(v, w); a document's first token has the document start as its context."""
+    """A chunk's answers at its places: c(w), c(v), c(v, w), c(u, v), c(u, v, w); a document's first token has the document start as its context,
+    and no pair before it."""
 
     def __init__(self, c: Chunk, answers: pa.Table, starts: tuple[int, int], without_deleted: bool):
-        got = {1: [], 2: []}
+        got = {kind: [] for kind in c.keys}
         for kind, bucket, n, total, gone in zip(*(answers.column(x).to_pylist() for x in ("kind", "bucket", "size", "total", "deleted"))):
             x = unpacked(total, n)
             got[kind].append((bucket, x - unpacked(gone, n) if without_deleted else x))
-        word, pair = (np.concatenate([x for _, x in sorted(got[k], key=lambda r: r[0])]) for k in (1, 2))
-        self.word, self.pair = word[c.word], pair[c.pair]
-        self.context = np.empty_like(self.word)
-        self.context[1:] = self.word[:-1]
+        at = {}
+        for kind, rows in got.items():
+            every = np.concatenate([x for _, x in sorted(rows, key=lambda r: r[0])]) if rows else np.zeros(0, np.int64)
+            at[kind] = every[c.index[kind]]
+        self.word, self.pair, self.triple = at[1], at[2], np.zeros(len(c.t), np.int64)
+        for kind in range(3, 3 + TRIPLE_ROUNDS):
+            self.triple[c.places[kind]] = at[kind]
+        self.context, self.before = np.empty_like(self.word), np.empty_like(self.word)
+        self.context[1:], self.before[1:] = self.word[:-1], self.pair[:-1]
         self.context[c.at[:-1]] = starts[1] if without_deleted else starts[0]
+        self.before[c.at[:-1]] = 0
+
+    def estimates(self, n: int) -> list[np.ndarray]:
+        """Of each token by the triple, the pair and the token alone; 0 for a context that wasn't seen."""
+        by = lambda x, y: np.where(y > 0, x / np.maximum(y, 1), 0.0)
+        return [by(self.triple, self.before), by(self.pair, self.context), self.word / max(n, 1)]
+
+    def buckets(self) -> np.ndarray:
+        return np.where(self.before > 0, CONTEXTS + context_bucket(self.before), context_bucket(self.context))
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -151,27 +192,29 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
 
 
 def learn(cells: np.ndarray, at: np.ndarray, floor: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (contexts x 3) by EM. cells: their numbers; at: held-out tokens and sums of the logarithms of both estimates by cell.
+    """Weights (buckets x 4) by EM. cells: their numbers; at: held-out tokens and sums of the logarithms of the three estimates by cell.
 
-    A cell stands for its tokens by the geometric means of their estimates, which differ by a factor of 1.26 in a cell at most.
+    A cell stands for its tokens by the geometric means of their estimates, which differ by a factor of 1.6 in a cell at most.
     """
-    context, rest = np.divmod(cells, (GRID + 1) ** 2)
+    bucket, rest = np.divmod(cells, SIDE**3)
     n = at[:, 0]
-    p2, p1 = (np.where(c > 0, 10 ** (at[:, i] / np.maximum(n, 1)), 0.0) for i, c in ((1, rest // (GRID + 1)), (2, rest % (GRID + 1))))
-    weights, known = np.full((CONTEXTS, 3), 1 / 3), np.zeros(CONTEXTS, bool)
-    for b in range(CONTEXTS):
-        mine = (context == b) & (n > 0)
+    places = rest // SIDE**2, rest // SIDE % SIDE, rest % SIDE
+    terms = np.stack([*(np.where(c > 0, 10 ** (at[:, i + 1] / np.maximum(n, 1)), 0.0) for i, c in enumerate(places)), np.full(len(n), floor)])
+    weights, known = np.full((2 * CONTEXTS, 4), 1 / 4), np.zeros(2 * CONTEXTS, bool)
+    for b in range(2 * CONTEXTS):
+        mine = (bucket == b) & (n > 0)
         if not mine.any():
             continue
         known[b], w = True, weights[b]
-        terms, count = np.stack([p2[mine], p1[mine], np.full(int(mine.sum()), floor)]), n[mine]
         for _ in range(rounds):
-            each = w[:, None] * terms
-            w = (each / each.sum(0) * count).sum(1) / count.sum()
+            each = w[:, None] * terms[:, mine]
+            w = (each / each.sum(0) * n[mine]).sum(1) / n[mine].sum()
             w = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
         weights[b] = w
-    for b in np.flatnonzero(~known) if known.any() else []:  # a bucket that held-out text never met takes the nearest one's weights
-        weights[b] = weights[np.flatnonzero(known)[np.abs(np.flatnonzero(known) - b).argmin()]]
+    for b in np.flatnonzero(~known) if known.any() else []:  # a bucket that held-out text never met takes the nearest one's weights, of its half if it can
+        near = np.flatnonzero(known)
+        near = near[(near >= CONTEXTS) == (b >= CONTEXTS)] if ((near >= CONTEXTS) == (b >= CONTEXTS)).any() else near
+        weights[b] = weights[near[np.abs(near - b).argmin()]]
     return weights
 
 
@@ -204,40 +247,42 @@ def score_documents(docs: DataFrame, folds: int = 10, add: float = ADD, chunk_by
     part = F.when(F.col("rest") == 0, 2).when(F.col("rest") == 1, 1).otherwise(0).cast("int")
     rows = rows.select("doc_id", "text", part.alias("part"), chunk.alias("chunk"))
     buckets = int(max(12, size / 6 / BUCKET_KEYS))
-    questions = rows.select("text", "part", "chunk").groupBy("chunk").applyInArrow(asked(buckets, groups), "kind int, bucket int, chunk bigint, gone boolean, keys binary, counts binary")
-    answers = stored(questions.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket int, chunk bigint, size bigint, total binary, deleted binary, sums array<bigint>"), "lm-answers")
+    every_kind, answers = tuple(range(1, 3 + TRIPLE_ROUNDS)), None
+    for kinds in ((1, 2), *((k,) for k in every_kind[2:])):
+        questions = rows.select("text", "part", "chunk").groupBy("chunk").applyInArrow(asked(buckets, groups, kinds), "kind int, bucket int, chunk bigint, gone boolean, keys binary, counts binary")
+        got = stored(questions.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket int, chunk bigint, size bigint, total binary, deleted binary, sums array<bigint>"), "lm-answers")
+        answers = got if answers is None else answers.union(got)
     four = [F.sum(F.col("sums")[i]).cast("bigint") for i in range(4)]
     n_all, v_all, n_kept, v_kept = (int(x or 0) for x in answers.where("chunk = -1 and kind = 1").agg(*four).first())
     trained = rows.agg(F.coalesce(F.sum(F.when(F.col("part") < 2, 1)), F.lit(0)), F.coalesce(F.sum(F.when(F.col("part") == 0, 1)), F.lit(0))).first()
     starts = (int(trained[0]), int(trained[1]))
     answers = answers.where("chunk >= 0").select(F.col("chunk").alias("a_chunk"), "kind", "bucket", "size", "total", "deleted")
 
-    def estimates(c: Counts, n: int):
-        return np.where(c.context > 0, c.pair / np.maximum(c.context, 1), 0.0), c.word / max(n, 1)
-
     def held(key: tuple[pa.Scalar, ...], t: pa.Table, a: pa.Table) -> pa.Table:
-        cell, sums = np.zeros(0, np.int64), np.zeros((0, 3))
+        cell, sums = np.zeros(0, np.int64), np.zeros((0, 4))
         if t.num_rows and a.num_rows:
-            c = Counts(Chunk(t.column("text")), a, starts, True)
-            p2, p1 = estimates(c, n_kept)
-            which = (context_bucket(c.context) * (GRID + 1) + cell_of(p2)) * (GRID + 1) + cell_of(p1)
+            c = Counts(Chunk(t.column("text"), every_kind), a, starts, True)
+            estimates, which = c.estimates(n_kept), c.buckets()
+            for p in estimates:
+                which = which * SIDE + cell_of(p)
             cell, index = np.unique(which, return_inverse=True)
-            logs = (np.log10(np.maximum(p, 1e-300)) for p in (p2, p1))
+            logs = (np.log10(np.maximum(p, 1e-300)) for p in estimates)
             sums = np.stack([np.bincount(index, w, len(cell)) for w in (np.ones(len(which)), *logs)], 1)
-        return pa.table([pa.array(cell.astype(np.int32)), *(pa.array(sums[:, i]) for i in range(3))], ["cell", "n", "l2", "l1"])
+        return pa.table([pa.array(cell.astype(np.int32)), *(pa.array(sums[:, i]) for i in range(4))], ["cell", "n", "l3", "l2", "l1"])
 
-    learning = rows.where("part = 1").select("text", "chunk").groupBy("chunk").cogroup(answers.where(F.col("a_chunk") >= groups).groupBy("a_chunk")).applyInArrow(held, "cell int, n double, l2 double, l1 double")
-    found = learning.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("l2").alias("l2"), F.sum("l1").alias("l1")).collect()  # as many rows as the grid has cells at most
-    weights = learn(np.array([r.cell for r in found], np.int64), np.array([(r.n, r.l2, r.l1) for r in found], float).reshape(-1, 3), 1 / (v_kept + 1))
+    learning = rows.where("part = 1").select("text", "chunk").groupBy("chunk").cogroup(answers.where(F.col("a_chunk") >= groups).groupBy("a_chunk")).applyInArrow(held, "cell int, n double, l3 double, l2 double, l1 double")
+    found = learning.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "l3", "l2", "l1"))).toArrow()  # as many rows as the grid has cells at most
+    weights = learn(found.column(0).to_numpy().astype(np.int64), np.stack([found.column(i).to_numpy() for i in range(1, 5)], 1), 1 / (v_kept + 1))
     floor, base_floor = 1 / (v_all + 1), n_all + add * (v_all + 1)
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, a: pa.Table) -> pa.Table:
-        chunk = Chunk(t.column("text"))
+        chunk = Chunk(t.column("text"), every_kind)
         c = Counts(chunk, a, starts, False)
-        p2, p1 = estimates(c, n_all)
-        w = weights[context_bucket(c.context)]
-        begin = chunk.at[:-1]
-        model = np.add.reduceat(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * floor), begin)
+        bucket, begin = c.buckets(), chunk.at[:-1]
+        p = weights[bucket, 3] * floor
+        for i, estimate in enumerate(c.estimates(n_all)):
+            p += weights[bucket, i] * estimate
+        model = np.add.reduceat(np.log10(p), begin)
         base = np.add.reduceat(np.log10((c.word + add) / base_floor), begin)
         known = np.add.reduceat((c.word > 0).astype(np.int64), begin)
         n = len(begin)
