@@ -238,6 +238,16 @@ def test_interpolated_scores_by_brute_force(spark, chunk):
         assert any(abs(x - s) <= 0.01 * n for x, n in got[i]), (i, s, got[i])
 
 
+def test_ngrams_stay_in_their_documents():
+    import pyarrow as pa
+
+    texts = ["a b c", "", "b", None, "c a b c d", "x y"]
+    one = {t: ngram_lm.triples_of(*ngram_lm.tokens(pa.array([t], pa.string()))).tolist() for t in texts}
+    for order in (texts, texts[::-1], texts[2:] + texts[:2]):
+        got = ngram_lm.triples_of(*ngram_lm.tokens(pa.array(order, pa.string()))).tolist()
+        assert got == [h for t in order for h in one[t]]
+
+
 def test_interpolation_weights():
     side = ngram_lm.SIDE
     cells = np.array([((3 * side + 0) * side + 30) * side + 10, (3 * side * side + 0) * side + 10])

@@ -60,11 +60,11 @@ def pairs_of(t: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def triples_of(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of each token with the two before it; a document's first token has one before it, its start, and gets a hash of no meaning."""
+    """Hashes of each token with the two before it; before a document's first token there are starts. No hash depends on another document."""
     one, two = np.empty_like(t), np.empty_like(t)
     one[1:], two[2:] = t[:-1], t[:-2]
     one[at[:-1]] = START
-    two[:2] = START
+    two[at[:-1]] = START
     second = at[:-1] + 1
     two[second[second < at[1:]]] = START
     return mix64(mix64(two * U64(0xA0761D6478BD642F) + one) * U64(0xE7037ED1A0B428DB) + t)
