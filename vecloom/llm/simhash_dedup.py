@@ -419,7 +419,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     """
     sized = pairs.join(nodes.select(F.col("node").alias("b"), "n_shingles"), "b")
     groups = F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)
-    many = stored(pairs.join(nodes.select(F.col("node").alias("b"), "n_shingles"), "b").groupBy("a").agg(groups.alias("groups")), "groups")
+    many = stored(sized.groupBy("a").agg(groups.alias("groups")), "groups")
     hubs = many.where("groups > 1")
     salt = F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1)))
     others = sized.join(small(hubs, 16), "a", "left").select("a", salt.alias("salt"), F.col("b").alias("node"))
