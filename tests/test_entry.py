@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
-NAMES = ["topk_ip", "topk_jensen_shannon", "batch_topk_ip", "where_contains", "bm25_selective", "hybrid_weighted", "sparse_topk", "sq8_encode", "spann_topk_full_probe", "upsert", "range_deleted", "batch_l2", "batch_cosine", "batch_l1", "packed_jaccard", "bm25_stored", "json_terms", "mass_statistics", "recall_pq_batch"]
+NAMES = ["topk_ip", "topk_jensen_shannon", "batch_topk_ip", "where_contains", "bm25_selective", "hybrid_weighted", "sparse_topk", "sq8_encode", "spann_topk_full_probe", "upsert", "range_deleted", "batch_l2", "batch_cosine", "batch_l1", "packed_jaccard", "bm25_stored", "json_terms", "mass_statistics", "recall_pq_batch", "collection_index", "collection_upsert", "collection_sparse"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

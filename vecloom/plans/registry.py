@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..operators import ann, fusion, mutations, quantize, rerank, search, sparse, text
+from ..sources.collection import Collection
 from ..sources.shipping import ship, spread
 from .where import apply_where
 
@@ -548,6 +549,63 @@ def q_mode(mode: str):
     return run
 
 
+# --- collections ------------------------------------------------------------------------------------------------------
+
+
+def collection_of(spark, d) -> Collection:
+    """A collection on shared storage with all vectors, each seventh deleted."""
+    c = Collection.create(spark, index_path(spark, "collection"))
+    df = vectors(spark, d)
+    with c.session() as s:
+        s.add(df.where("label < 5"))
+        s.add(df.where("label >= 5"))
+    c.delete(deleted_ids(df))
+    return c
+
+
+def q_collection(ask):
+    def run(spark, d):
+        return ask(spark, collection_of(spark, d), probe(vectors(spark, d)))
+
+    return run
+
+
+def _indexed(spark, c, q):
+    c.build_index("IVF-L2", n_cells=8)
+    return shown(c.search(q, 10, "l2", nprobe=8))
+
+
+def _upserted(spark, c, q):
+    c.upsert(c.records().where("id % 14 = 0").select("id", (F.col("label") + 100).alias("label")))
+    c.compact()
+    return c.query("id >= 0").select(F.col("id").alias("vec_id"), "label")
+
+
+def _named(spark, c, q):
+    c.add_vectors("back", c.records().select("id", F.reverse("vector").alias("vector")))
+    return shown(c.search(q, 10, "l2", field="back"))
+
+
+def _sparse(spark, c, q):
+    """The vector's first eight components as sparse features."""
+    c.add_sparse(c.records().select("id", F.posexplode(F.slice("vector", 1, 8)).alias("idx", "val")))
+    return shown(c.sparse_search({0: 1.0, 3: -2.0, 7: 0.5}, 10))
+
+
+def _stats(spark, c, q):
+    return spark.createDataFrame([c.stats()], "rows long, deleted long, live long, max_id long, dim long")
+
+
+COLLECTIONS = {
+    "collection_topk": lambda spark, c, q: shown(c.search(q, 10, "l2")),
+    "collection_range": lambda spark, c, q: shown(c.search_range(q, 1.6, "l2", 1000, '"label" != 3')),
+    "collection_index": _indexed,
+    "collection_upsert": _upserted,
+    "collection_named": _named,
+    "collection_sparse": _sparse,
+    "collection_stats": _stats,
+}
+
 # --- changes ----------------------------------------------------------------------------------------------------------
 
 
@@ -602,6 +660,7 @@ def queries():
     out |= {"ivf_topk_full_probe": q_cells(16, 0), "spann_topk_full_probe": q_cells(16, 1), "ivf_topk_nprobe": q_cells(None, 0), "spann_topk_nprobe": q_cells(None, 1)}
     out |= {"pq_two_pass": q_codec("pq8"), "rabitq_two_pass": q_codec("rabitq"), "polarvec_two_pass": q_codec("polarvec4"), "mode_flat_l2": q_mode("FLAT-L2"), "mode_hnsw_l2": q_mode("hnsw-l2"), "mode_diskann_l2": q_mode("DISKANN-L2")}
     out |= {name: q_recall(floor, prepare) for name, (floor, prepare) in FLOORS.items()} | {"recall_pq_batch": pq_batch}
+    out |= {name: q_collection(ask) for name, ask in COLLECTIONS.items()}
     out |= {"upsert_latest": q_upsert_latest, "upsert": q_upsert, "soft_delete": q_deleted, "restore": q_restore, "compact": q_compact, "rerank_by_field": q_rerank}
     return out
 
@@ -614,6 +673,15 @@ def oracle_sql():
     out |= {"topk_ip_filtered": topk_sql("ip", "label = 3"), "topk_l2_where_and": topk_sql("l2", "label >= 2 AND label < 6"), "topk_cos_where_in": topk_sql("cosine", "label IN (1, 4, 7)"), "batch_topk_ip": batch_sql(), "batch_topk_filtered": batch_sql("label = 3")}
     out |= {"range_l2": topk_sql("l2", "score <= 1.6", 1000), "range_ip": topk_sql("ip", "score >= 0.2", 1000), "range_capped": topk_sql("l2", "score <= 4.0", 7), "segment_merge_topk": l2, "tombstone_topk": topk_sql("ip", "vec_id % 7 <> 0"), "approx_rounded": topk_sql("l2", score="round(round(score / 0.01) * 0.01, 6) + 0.0")}
     out["merge_best"] = topk_sql("l2", k=15)
+    out |= {
+        "collection_topk": topk_sql("l2", "vec_id % 7 <> 0"),
+        "collection_range": topk_sql("l2", "score <= 1.6 AND vec_id % 7 <> 0 AND label <> 3", 1000),
+        "collection_index": topk_sql("l2", "vec_id % 7 <> 0"),
+        "collection_upsert": "SELECT vec_id, CASE WHEN vec_id % 14 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 14 = 0",
+        "collection_named": topk_sql("l2", "vec_id % 7 <> 0").replace(f"WITH s AS ({_source('l2')}), q AS (SELECT v AS b FROM s WHERE vec_id = 0)", f"WITH o AS ({_source('l2')}), s AS (SELECT vec_id, label, list_reverse(v) AS v FROM o), q AS (SELECT v AS b FROM o WHERE vec_id = 0)"),
+        "collection_sparse": "WITH g AS (SELECT vec_id, embedding[1]::DOUBLE - 2 * embedding[4]::DOUBLE + 0.5::DOUBLE * embedding[8]::DOUBLE AS score FROM embeddings WHERE vec_id % 7 <> 0) SELECT vec_id, round(score, 6) + 0.0 AS score FROM g WHERE score <> 0 ORDER BY round(score, 9) DESC, vec_id LIMIT 10",
+        "collection_stats": "SELECT count(*) AS rows, count(*) FILTER (vec_id % 7 = 0) AS deleted, count(*) FILTER (vec_id % 7 <> 0) AS live, max(vec_id) AS max_id, CAST(max(len(embedding)) AS BIGINT) AS dim FROM embeddings",
+    }
     out["named_vector_topk"] = l2.replace(f"WITH s AS ({_source('l2')}), q AS (SELECT v AS b FROM s WHERE vec_id = 0)", f"WITH o AS ({_source('l2')}), s AS (SELECT vec_id, label, list_reverse(v) AS v FROM o), q AS (SELECT v AS b FROM o WHERE vec_id = 0)")
     out |= {k: f"SELECT {', '.join(c)} FROM {t} WHERE {w}" for k, (_, _, c, _, t, w) in WHERE.items()}
     out |= {

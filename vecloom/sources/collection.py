@@ -157,6 +157,10 @@ class Collection:
 
     def _appended(self, m: dict, rows: DataFrame) -> dict:
         """The changes of the manifest that append rows."""
+        if "vector" not in rows.columns:
+            if rows.isEmpty():
+                return {}
+            raise ValueError("new rows need vectors")
         seen = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.count("id").alias("ids"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
         if not seen.n:
             return {}
