@@ -31,9 +31,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df):
-    """df in as many partitions as there are task slots, if a few files with few row groups give it less than half of them.
+    """df in as many partitions as there are task slots, if it has fewer: small files are cut by size, and a row group then lies in one of the cuts.
 
     Large tables have more partitions than slots and stay as they are.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < slots else df
+    return df.repartition(slots) if df._jdf.queryExecution().toRdd().getNumPartitions() < slots else df
