@@ -126,3 +126,23 @@ def test_substrings(spark, monkeypatch):
     assert sorted(map(tuple, S.substring_dedup(df, 35).collect()), key=repr) == brute(docs, 35)
     assert S.substring_dedup(df.limit(0)).count() == 0
     assert S.substring_dedup(df.where("doc_id = 0")).first().n_removed == 0
+
+
+def test_hashing_takes_little_memory():
+    """A worker that hashes a chunk's words holds little beside them, at the time and later; blocks don't change hashes."""
+    import tracemalloc
+
+    from vecloom.llm import common
+
+    words = [b"w%d" % i for i in range(65_536)] + [b"long" * 200_000, b"w3"] + [b"some" * (i % 9) + b"x" for i in range(500_000)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    norm, first, end, _ = common.word_spans(data, common.SPACE_WORDS, np.array([0, len(data)]))
+    common._POWERS.clear()
+    tracemalloc.start()
+    got = common.word_hashes(norm[:8_000_000], *(x[end <= 8_000_000] for x in (first, end)))
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 80e6 and now - got.nbytes < 16e6, (peak, now - got.nbytes)
+    assert got[3] == got[65_537]
+    for i in [*range(0, len(got), 9973), 65_536]:
+        assert got[i] == common.word_hashes(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([len(words[i])]))[0]

@@ -171,13 +171,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 19
+#: Words hashed at a time: some 200 KB of text, for which the prefix sums stay in the processor's cache.
+HASHED_WORDS = 1 << 15
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n, kept between calls."""
+    """base**i mod 2**64 for i < n; up to KEPT_POWERS they are kept between calls, as workers outlive stages."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = _POWERS[base] = _powers(base, max(n, 1 << 16))
+        have = _powers(base, max(n + n // 4, 1 << 16) if n <= KEPT_POWERS else n)
+        if n <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -207,9 +212,8 @@ def word_hashes(norm: np.ndarray, first: np.ndarray, end: np.ndarray, base: int
         return np.zeros(0, U64)
     out = np.empty(len(first), U64)
     # In blocks of words, so that the prefix sums take bounded memory.
-    step = 1 << 19
-    for a in range(0, len(first), step):
-        b = min(a + step, len(first))
+    for a in range(0, len(first), HASHED_WORDS):
+        b = min(a + HASHED_WORDS, len(first))
         lo, hi = int(first[a]), int(end[b - 1])
         part = norm[lo:hi].astype(U64) + U64(1)
         size = end[a:b] - first[a:b]

@@ -252,6 +252,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTES
     rows = rows.withColumn("runs", F.lit(None).cast("binary")) if places is None else attach(rows, places, "left")
 
     def run(batches):
+        release()
         for batch in batches_by_bytes(batches, 1, CHUNK_BYTES):
             n_words, n_removed, sha, texts = [], [], [], []
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
