@@ -60,3 +60,37 @@ def test_added_tokens_as_by_default(spark):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want and want[0][2] == 5
+
+
+def test_pieces_share_calls_of_the_library():
+    """New words go through the library together, and words that were met in a text once don't again."""
+    code, sent = B.Encoder(B.default_tokenizer(), special=True), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    tokenizer, code.tokenizer = code.tokenizer, Counting()
+    texts = [" ".join(f"{a}{b}{c}, x" for c in "abcdefghij") for a in "abcdefghij" for b in "abcdefghij"]
+    want = [np.array(e.ids, code.kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert code.encode(texts) == want and len(sent) <= 1200 / 32
+    sent.clear()
+    assert code.encode(texts[::-1]) == want[::-1] and not sent
+
+
+def test_places_where_texts_are_cut(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    parts = [*" " * 6, *"\n\t\x0b\x85\xa0\u1680\u2003\u3000\u200b\x1c_'\u201c,.<|>19\xbdAstv\xe9\u0416\u4e2d\u0939\u3068\U0001f600", "'s", "'re ", "  ", "<|endoftext|>", "<|endof", "text|>", "word"]
+    texts = ["", " ", "a"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for special in (True, False):
+        code, t = B.Encoder(B.default_tokenizer(), special), Tokenizer.from_file(B.default_tokenizer())
+        t.encode_special_tokens = not special
+        want = [np.array(e.ids, code.kind).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        assert code.encode(texts) == want
+        monkeypatch.setattr(B, "CACHE_PIECES", 500)
+        assert [x for a in range(0, len(texts), 100) for x in code.encode(texts[a : a + 100])] == want and len(code) < 2000
+        monkeypatch.undo()
+    assert code.encode([]) == [] and code.encode([""]) == [b""] and code.encode([None, "a", None])[::2] == [b"", b""]

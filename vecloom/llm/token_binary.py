@@ -6,9 +6,9 @@ at the shard's end) and ``ends`` (true at each document's last id), uncompressed
 without a copy; the shard's document ids lie beside it. Files are written under names of their own attempt and count only once
 the stored manifest names them, so a retried or speculative task leaves no trace in the result.
 
-Byte-level BPE works on pre-tokens one by one, so each distinct pre-token goes through the library once per worker.
-A text that holds an added token of the tokenizer, or a character that Python's Unicode tables don't know (the library's may be
-newer), goes through the library whole.
+Byte-level BPE works on pre-tokens one by one. A space before a character that isn't white space always begins a pre-token, and
+so does what follows letters and isn't one. Texts are cut at such places, and each distinct piece goes through the library once per worker.
+A text that holds an added token of the tokenizer goes through the library whole.
 """
 
 from __future__ import annotations
@@ -23,29 +23,37 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, category_ranges, memo, shared_path, stored, table, text_bytes
+from .common import batches_by_bytes, memo, shared_path, stored, table, text_bytes, texts_of
 
 SEQUENCE, BATCH_SEQUENCES = 2048, 256
 SHARD_BYTES = 32 << 20  # of text
 BATCH_BYTES = 4 << 20
-CACHE_TOKENS = 600_000
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-
-
-def _pattern() -> re.Pattern:
-    """The pre-tokens of byte-level BPE for the standard re module: \\w less numbers is \\p{L} there."""
-    n = category_ranges("N")
-    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_{n}]+| ?[{n}]+| ?(?:[^\w{SPACES}]|_)+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-
-
-#: The same for texts below U+0250, whose few classes are bitmaps; nearly all texts of Latin script are such.
-LATIN, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-LATIN_TEXT = re.compile(r"[\x00-ɏ]*\Z")
-LATIN_PARTS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LATIN}]+| ?[{NUMBER}]+| ?[^{LATIN}{NUMBER}\t-\r \x85\xa0]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
+CACHE_PIECES, LONGEST_KEPT = 600_000, 64
+GROUP = 64  # pieces in a call of the library
+#: By byte: 1 first of a character that can't be white space (those of U+0080-U+00BF, U+1000-U+3FFF and beyond U+DFFF don't count), 2 letter A-Z, 4 visible ASCII that is no letter, 8 space.
+KINDS = np.zeros(256, np.uint8)
+for _first, _stop in ((0x21, 0x7F), (0xC3, 0xE1), (0xE4, 0xEE)):
+    KINDS[_first:_stop] |= 1
+KINDS[0x21:0x7F] |= 4
+for _first in b"Aa":
+    KINDS[_first : _first + 26] ^= 6
+KINDS[0x20] = 8
+
+
+def pieces_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Offsets of the pieces of texts that lie end to end: each begins with its text, at a space before what isn't white space, or between A-Z and ASCII that is neither letter nor white space."""
+    kinds = KINDS[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw):
+        cut[:-2] = (kinds[:-1] == 8) & (kinds[1:] & 1 > 0)
+        cut[1:-1] |= (kinds[:-1] & 2 > 0) & (kinds[1:] & 4 > 0)
+        cut[offsets[1:][offsets[1:] > 0] - 1] &= kinds[offsets[1:][offsets[1:] > 0] - 1] != 8  # what follows is another text
+    cut[offsets] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder(dict):
-    """pre-token -> its ids as little-endian bytes. special: special tokens in a text are found, as by the library's default."""
+    """piece -> its ids as little-endian bytes. special: special tokens in a text are found, as by the library's default."""
 
     def __init__(self, path: str, special: bool = False):
         import os
@@ -57,27 +65,58 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.any_parts, self.unknown = _pattern().findall, re.compile(f"[{category_ranges('Cn')}]").search
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
-        self.holds_added = re.compile("|".join(added)).search if added else lambda text: None
-
-    def cut(self, text: str) -> list[str] | None:
-        """Pre-tokens; None if the library has to cut the text."""
-        if self.holds_added(text):
-            return None
-        if LATIN_TEXT.match(text):
-            return LATIN_PARTS.findall(text)
-        return None if self.unknown(text) else self.any_parts(text)
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        added = [re.escape(t.content.encode()) for t in tokens.values() if special or not t.special]
+        self.find_added = re.compile(b"|".join(added)).finditer if added else lambda raw: ()
+        # The library cuts texts at a special token, so pieces can share a call with it between them.
+        plain = special and len(tokens) == 1 and all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in tokens.values())
+        self.between = next((t.content, i) for i, t in tokens.items()) if plain else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_TOKENS:
-            self.clear()
-        parts = list(map(self.cut, texts))
-        new = list(set().union(*(ps for ps in parts if ps is not None)) - self.keys())
-        if new:
-            for p, data in zip(new, self.by_library(new)):
-                self[p] = data
-        return [self.by_library([t])[0] if ps is None else b"".join(map(self.__getitem__, ps)) for t, ps in zip(texts, parts)]
+        return self.encode_column(pa.array(texts, pa.large_string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        raw, offsets = texts_of(column)
+        whole = set()
+        for m in self.find_added(raw.data):
+            # Texts lie end to end, so a match can be of two; both are read whole then.
+            whole.update(range(int(np.searchsorted(offsets, m.start(), "right")) - 1, int(np.searchsorted(offsets, m.end() - 1, "right"))))
+        bounds = pieces_of(raw, offsets)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        names, begins = texts_of(pieces.dictionary.cast(pa.large_string()))
+        names, begins = names.tobytes(), begins.tolist()
+        ids = self.of([names[a:b] for a, b in zip(begins, begins[1:])])
+        _, ends, data = pa.array(ids, pa.large_binary()).take(pieces.indices).buffers()
+        out, ends = data.to_pybytes() if data else b"", np.frombuffer(ends, np.int64)
+        cuts = ends[np.searchsorted(bounds, offsets)].tolist()
+        return [self.by_library([raw[offsets[i] : offsets[i + 1]].tobytes().decode()])[0] if i in whole else out[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        out = list(map(self.get, pieces))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self) + len(new) > CACHE_PIECES:
+            self.clear()  # but for the pieces met just now, which hold the frequent ones
+            self.update((p, x) for p, x in zip(pieces, out) if x is not None and len(p) <= LONGEST_KEPT)
+        for a in range(0, len(new), GROUP * GROUP):
+            part = new[a : a + GROUP * GROUP]
+            for i, x in zip(part, self.together([pieces[i].decode() for i in part])):
+                out[i] = x
+                if len(pieces[i]) <= LONGEST_KEPT:
+                    self[pieces[i]] = x
+        return out
+
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """by_library, several pieces a call where the special token can stand between them."""
+        if self.between is None or any(self.between[0] in p for p in pieces):
+            return self.by_library(pieces)
+        mark, mark_id = self.between
+        found = self.tokenizer.encode_batch_fast([mark.join(pieces[a : a + GROUP]) + mark for a in range(0, len(pieces), GROUP)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in found])
+        stops = (np.flatnonzero(ids == mark_id) * self.kind.itemsize).tolist()
+        data, step = ids.tobytes(), self.kind.itemsize
+        return [data[a + step : b] for a, b in zip([-step, *stops], stops)] if len(stops) == len(pieces) else self.by_library(pieces)
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -159,7 +198,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, lengt
                 schema = pa.schema([("doc_id", pa.int64())])
                 ids = pa.ipc.new_file(index, schema)
             end = np.array([end_id], code.kind).tobytes()
-            for data in code.encode(batch.column(1).to_pylist()):
+            for data in code.encode_column(batch.column(1)):
                 writer.add(data + end)
             ids.write_batch(pa.record_batch([batch.column(0)], schema=schema))
             n += batch.num_rows
