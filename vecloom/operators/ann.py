@@ -158,6 +158,20 @@ class Cells:
         best = topk(rows, query, k * (self.replicas + 1), self.metric, id_=self.id_, vec=self.vec)
         return best if not self.replicas else best.groupBy(self.id_).agg(F.first("score").alias("score")).orderBy(*ordered(self.metric, id_=self.id_)).limit(k)
 
+    def reached(self, spark, pairs: DataFrame, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
+        """query_id, id, hit: of each pair of a query (query_id, query) and a row, whether the row lies in a cell that the query's search for k reads.
+
+        A search gives the best of what it reads, so it finds one of the true k best if and only if it's read."""
+        probe, least = self.probe, k * (self.replicas + 1)
+
+        @F.pandas_udf("array<int>")
+        def cells(q: pd.Series) -> pd.Series:
+            return q.map(lambda x: np.array(probe(x, nprobe, least), np.int32))
+
+        probed = queries.select("query_id", cells("query").alias("_cells"))
+        placed = pairs.select("query_id", self.id_).join(self.rows(spark).select(self.id_, "cell"), self.id_, "left").join(probed, "query_id")
+        return placed.groupBy("query_id", self.id_).agg(F.max(F.coalesce(F.array_contains("_cells", F.col("cell")), F.lit(False))).alias("hit"))
+
 
 def search_mode(df: DataFrame, mode: str, query, k: int, path: str | None = None, id_: str = "id", vec: str = "vector", **options) -> DataFrame:
     """Search by a mode string. Graph families have no graph walk here: they scan all cells of an index, so their answer is exact."""

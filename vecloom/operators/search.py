@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.metrics import ascending, distance, resolve, vector
 from ..plans.where import apply_where
+from ..sources.shipping import spread
 
 #: Bytes of query vectors that are broadcast at once; larger query sets go in blocks.
 QUERY_BYTES = 8 << 20
@@ -51,6 +52,13 @@ def range_search(df: DataFrame, query, threshold: float, metric: str = "l2", max
     return scored.where(inside & ~F.isnan("score")).orderBy(*ordered(metric, id_=id_)).limit(max(0, max_results))
 
 
+def query_blocks(queries: DataFrame, query_id: str = "query_id", query_vec: str = "query") -> list[DataFrame]:
+    """The queries in parts of about QUERY_BYTES of vectors, at least one."""
+    size = queries.agg(F.coalesce(F.sum(F.size(query_vec).cast("bigint") * 8), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // QUERY_BYTES))
+    return [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
+
+
 def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", where: str | None = None, deleted: DataFrame | None = None, id_: str = "id", vec: str = "vector", query_id: str = "query_id", query_vec: str = "query") -> DataFrame:
     """query_id, rank, id, score: the k nearest live rows of each query.
 
@@ -59,13 +67,9 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip
     the broadcast queries.
     """
     rows = without(apply_where(df, where), deleted, id_).select(F.col(id_), F.col(vec))
-    q = queries.select(F.col(query_id), F.col(query_vec).alias("_q"))
-    size = q.agg(F.coalesce(F.sum(F.size("_q").cast("bigint") * 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // QUERY_BYTES))
     w = Window.partitionBy(query_id).orderBy(*ordered(metric, id_=id_))
     out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+    for part in query_blocks(queries.select(F.col(query_id), F.col(query_vec).alias("_q")), query_id, "_q"):
         if resolve(metric) in PRODUCTS:
             scored = products(rows, part, max(0, k), resolve(metric), id_, vec, query_id)
         else:
@@ -76,72 +80,119 @@ def batch_topk(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip
 
 
 PRODUCTS = {"ip", "l2", "cosine"}
+#: Rows and queries of a matrix product.
+TILE_ROWS, TILE_QUERIES = 4096, 256
+
+
+def whole_vectors(batch: pa.RecordBatch, dim: int):
+    """The rows of a batch of (id, vector) whose vectors have so many components, none of them null, TILE_ROWS at a time: ids, matrix."""
+    column = batch.column(1)
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+    for lo in range(0, batch.num_rows, TILE_ROWS):
+        at = lo + np.flatnonzero(sizes[lo : lo + TILE_ROWS] == dim)
+        if not len(at):
+            continue
+        flat = column.take(pa.array(at)).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+        if flat.null_count:
+            ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), dim).any(1)
+            at, x = at[ok], x[ok]
+        ids = batch.column(0).take(pa.array(at))
+        if len(at):
+            yield ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist(), object), x
+
+
+def whole_queries(queries: DataFrame, query_id: str, query_vec: str) -> dict[int, tuple[list, np.ndarray]]:
+    """By dimension the ids and the matrix of a block of queries, without those that are null or hold nulls."""
+    by_dim: dict[int, tuple[list, list]] = {}
+    for r in queries.select(F.col(query_id).alias("i"), F.col(query_vec).alias("v")).collect():  # a block of QUERY_BYTES
+        if r.v is not None and None not in r.v:
+            names, vecs = by_dim.setdefault(len(r.v), ([], []))
+            names.append(r.i)
+            vecs.append(np.array(r.v, np.float64))
+    return {dim: (names, np.array(vecs).reshape(len(names), dim)) for dim, (names, vecs) in by_dim.items()}
+
+
+def slack(dim: int, a: np.ndarray, b: np.ndarray) -> float:
+    """More than scores by a matrix product can be off, places beyond the ninth included; a, b: squared lengths."""
+    size = float(np.max(a, initial=0) + np.max(b, initial=0))
+    return 2e-9 + 1e-15 * (dim + 8) * size if np.isfinite(size) else np.inf
 
 
 def products(rows: DataFrame, queries: DataFrame, k: int, metric: str, id_: str, vec: str, query_id: str) -> DataFrame:
-    """query_id, id, score: of each task's rows the k best of each query, by matrix products; rows of another length than a query's score nothing."""
-    asked = [(r[query_id], np.array(r._q, np.float64)) for r in queries.collect() if r._q is not None and None not in r._q]  # a block of QUERY_BYTES
-    by_dim: dict[int, list[int]] = {}
-    for i, (_, v) in enumerate(asked):
-        by_dim.setdefault(len(v), []).append(i)
+    """query_id, id, score: of each task's rows the k best of each query; rows of another length than a query's score nothing.
+
+    Matrix products of TILE_ROWS x TILE_QUERIES, whose expanded squares lose digits of near vectors, only leave out what can't be among
+    the k best so far; the rest is scored pair by pair."""
+    asked = whole_queries(queries, query_id, "_q")
     sign = 1.0 if ascending(metric) else -1.0
 
-    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if metric == "l2":  # not by the expanded square, which loses digits of near vectors
-            return np.stack([((x - v) ** 2).sum(1) for v in q])
+    def coarse(q, qq, x, xx):
         s = q @ x.T
+        if metric == "l2":
+            return qq[:, None] + xx - 2 * s
+        if metric == "cosine":
+            d = np.sqrt(qq[:, None] * xx)
+            return np.where(d < 1e-30, 1.0, 1.0 - s / np.maximum(d, 1e-300))
+        return -s
+
+    def exact(q, x):
+        if metric == "l2":
+            return ((x - q) ** 2).sum(1)
+        s = (q * x).sum(1)
         if metric == "cosine":
-            d = np.sqrt((q**2).sum(1)[:, None] * (x**2).sum(1))
+            d = np.sqrt((q**2).sum(1) * (x**2).sum(1))
             s = np.where(d < 1e-30, 1.0, 1.0 - s / np.maximum(d, 1e-300))
         return s
 
+    def best(held):
+        """Of arrays of (query, rank, score, id) the k best of each query, by query."""
+        q, rank, score, ids = (np.concatenate([h[c] for h in held]) for c in range(4))
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(rank[order], kind="stable")]
+        order = order[np.argsort(q[order], kind="stable")]
+        q = q[order]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, int)
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+        order = order[keep]
+        return q[keep], rank[order], score[order], ids[order]
+
     def run(batches):
-        held: list[list[tuple]] = [[] for _ in asked]  # (place in the ranking, score, id) arrays of each query
-
-        def cut(i):
-            rank, score, ids = (np.concatenate([h[c] for h in held[i]]) for c in range(3))
-            if len(rank) > k:
-                near = rank <= np.partition(rank, k - 1)[k - 1] if k else np.zeros(len(rank), bool)
-                rank, score, ids = rank[near], score[near], ids[near]
-                order = np.argsort(ids, kind="stable")
-                order = order[np.argsort(rank[order], kind="stable")][:k]
-                rank, score, ids = rank[order], score[order], ids[order]
-            held[i] = [(rank, score, ids)]
-
-        for batch in batches:
-            column = batch.column(1)
-            sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
-            for dim, which in by_dim.items():
-                for lo in range(0, batch.num_rows, 4096):
-                    at = lo + np.flatnonzero(sizes[lo : lo + 4096] == dim)
-                    if not len(at):
-                        continue
-                    part = column.take(pa.array(at))
-                    flat = part.flatten()
-                    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
-                    if flat.null_count:
-                        ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), dim).any(1)
-                        at, x = at[ok], x[ok]
-                    ids = np.array(batch.column(0).take(pa.array(at)).to_pylist(), object)
-                    s = scores(np.array([asked[i][1] for i in which]).reshape(len(which), dim), x)
-                    for i, row in zip(which, s):
-                        rank = np.where(np.isnan(row), np.inf, sign * np.round(row, 9))
-                        if len(rank) > k:
-                            near = np.flatnonzero(rank <= np.partition(rank, k - 1)[k - 1]) if k else []
-                            held[i].append((rank[near], row[near], ids[near]))
-                        else:
-                            held[i].append((rank, row, ids))
-                        if sum(len(h[0]) for h in held[i]) > 4 * k + 4096:
-                            cut(i)
-        for i, (name, _) in enumerate(asked):
-            if held[i]:
-                cut(i)
-                _, score, ids = held[i][0]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), q_type), pa.array(ids.tolist(), id_type), pa.array(score, pa.float64())], [query_id, id_, "score"])
+        held = {}  # by dimension and block of queries: (query, rank, score, id) of the k best so far, and the rank of the k-th
+        for batch in batches if k else ():
+            for dim, (names, vecs) in asked.items():
+                for ids, x in whole_vectors(batch, dim):
+                    xx = (x**2).sum(1)
+                    for lo in range(0, len(names), TILE_QUERIES):
+                        q = vecs[lo : lo + TILE_QUERIES]
+                        qq = (q**2).sum(1)
+                        with np.errstate(all="ignore"):
+                            s = coarse(q, qq, x, xx)
+                            off = slack(dim, qq, xx) if metric != "cosine" else 2e-9 + 1e-15 * (dim + 8)
+                            old, limit = held.get((dim, lo), (None, np.full(len(q), np.inf)))
+                            if len(x) > k and np.isinf(limit).any():
+                                limit = np.minimum(limit, np.partition(np.where(np.isnan(s), np.inf, s), k - 1, axis=1)[:, k - 1] + off)
+                            at, row = np.nonzero(~(s > (limit + off)[:, None]))
+                            found = [] if old is None else [old]
+                            for i in range(0, len(at), 65_536):
+                                score = exact(q[at[i : i + 65_536]], x[row[i : i + 65_536]])
+                                rank = np.where(np.isnan(score), np.inf, sign * np.round(score, 9))
+                                found.append((at[i : i + 65_536], rank, score, ids[row[i : i + 65_536]]))
+                        if not found:
+                            continue
+                        now = best(found)
+                        last = np.flatnonzero(np.r_[now[0][1:] != now[0][:-1], True]) if len(now[0]) else np.zeros(0, int)
+                        full = np.bincount(now[0], minlength=len(q))[now[0][last]] >= k
+                        limit = np.full(len(q), np.inf)
+                        limit[now[0][last][full]] = now[1][last][full]
+                        held[dim, lo] = now, limit
+        for (dim, lo), ((at, _, score, ids), _) in held.items():
+            names = asked[dim][0][lo : lo + TILE_QUERIES]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()], q_type), pa.array(ids.tolist(), id_type), pa.array(score, pa.float64())], [query_id, id_, "score"])
 
     types = [rows.schema[id_].dataType, queries.schema[query_id].dataType]
     id_type, q_type = (to_arrow_type(t) for t in types)
-    return rows.mapInArrow(run, f"`{query_id}` {types[1].simpleString()}, `{id_}` {types[0].simpleString()}, score double")
+    return spread(rows).mapInArrow(run, f"`{query_id}` {types[1].simpleString()}, `{id_}` {types[0].simpleString()}, score double")
 
 
 def merge_topk(parts: list[DataFrame], k: int, metric: str = "ip", id_: str = "id") -> DataFrame:
