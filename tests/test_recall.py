@@ -63,6 +63,16 @@ def test_batch_in_tiles(table, monkeypatch):
                 assert [got[q.query_id, n + 1] for n in range(7)] == [r.id for r in search.topk(df, q.query, 7, metric).collect()], metric
 
 
+def test_shortlists_grow_with_rows(spark):
+    """A shortlist of 320 holds too few of the nearest ten among 30,000 rows; longer ones are cut by score."""
+    x = np.random.default_rng(3).normal(size=(30_000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<double>").repartition(8).cache()
+    queries = df.where("id % 600 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    pairs = search.batch_topk(df, queries, 10, "l2").select("query_id", "id")
+    before = [r.before for r in quantize.coarse_ranks(df, queries, pairs, quantize.Coarse.fit(df, "pq4"), "l2").collect()]
+    assert len(before) == 500 and np.mean(np.array(before) < 320) < 0.9 <= np.mean(np.array(before) < quantize.width("pq4", 10, 30_000))
+
+
 def test_long_shortlists(table, monkeypatch):
     monkeypatch.setattr(quantize, "NARROW", 10)
     for metric in ("l2", "ip"):

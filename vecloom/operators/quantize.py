@@ -18,7 +18,7 @@ from .search import TILE_QUERIES, ordered, rescore, slack, topk, whole_queries,
 #: Rows that codebooks are fitted on, at most; every row is encoded.
 SAMPLE_ROWS = 50_000
 #: Share of all rows that a shortlist by codes of about a bit a dimension has at least: the more rows, the more lie between a near one and its code.
-SHORT = 0.0
+SHORT = 0.02
 #: Rows up to which a shortlist is cut to its very length and broadcast.
 NARROW = 100_000
 
