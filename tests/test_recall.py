@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,24 @@ def test_long_shortlists(table, monkeypatch):
         q = asked(table).first().query
         got = [r.id for r in quantize.two_pass(table, q, 10, metric, "polarvec4").collect()]
         assert len(set(got) & {r.id for r in search.topk(table, q, 10, metric).collect()}) >= 9
+
+
+def test_middles(spark):
+    """The value at place n // 2, though values lie close, are alike, skewed, null or not finite."""
+    rng = np.random.default_rng(1)
+    n = 5000
+    rows = np.stack([rng.normal(size=n) * 1e-9 + 1, np.repeat([-1.0, 3.0], n // 2), np.exp(rng.normal(size=n) * 200), np.where(rng.random(n) < 0.6, np.nan, 1.0), np.where(rng.random(n) < 0.5, -0.0, 0.0)], 1)
+    data = [(i, v) for i, v in enumerate(rows.tolist())] + [(n, None), (n + 1, [None] * 5)]
+    df = spark.createDataFrame(data, "id long, vector array<double>")
+    lo, hi = quantize.bounds(df)
+    want = np.sort(rows, 0)[n // 2]
+    for few in (0, 3000):
+        assert np.array_equal(quantize.middles(df, lo, hi, few=few, bins=16), want, equal_nan=True)
+
+
+def test_binary_thresholds_of_many_rows(spark):
+    """An approximate percentile is off from some ten thousand rows on."""
+    x = np.random.default_rng(2).normal(size=(250_000, 2)).astype(np.float32)
+    at = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1]}))
+    df = at.select(F.array("a", "b").alias("vector"))
+    assert quantize.binary_thresholds(df, 2) == np.sort(x, 0)[125_000].astype(float).tolist()

@@ -59,15 +59,76 @@ def sq8_two_pass(df: DataFrame, query, k: int, metric: str = "ip", id_: str = "i
     return rescore(topk(coarse, query, wide, metric, id_=id_, vec="_c"), df, query, k, metric, id_, vec)
 
 
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the values: both zeros are one, NaN is the largest."""
+    b = np.where(np.isnan(x), np.nan, x + 0.0).view(np.int64)
+    return (b ^ ((b >> 63) & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _value(key: int) -> float:
+    b = np.array([key], np.uint64) ^ np.uint64(1 << 63)
+    b = b.view(np.int64)
+    return float((b ^ ((b >> 63) & np.int64(2**63 - 1))).view(np.float64)[0])
+
+
+def middles(df: DataFrame, lo: list[float], hi: list[float], vec: str = "vector", bins: int = 1024, few: int = 100_000) -> list[float]:
+    """For each dimension the value at place n // 2 of its n values in ascending order, exactly; lo and hi are its bounds.
+
+    Tasks count values by bins, and the bin that holds the place is cut into bins in turn until all dimensions' bins hold few values or one value each."""
+    dim = len(lo)
+    rows = spread(df.select(F.array(*[F.get(vec, F.lit(i)).cast("double") for i in range(dim)]).alias("v")))
+    low, high = ([int(x) for x in _keys(np.array(v, np.float64))] for v in (lo, hi))
+    below, place, inside = [0] * dim, None, None
+
+    def held(batches):
+        """Dimension and key of the values within the bounds so far."""
+        a, b = np.array(low, np.uint64), np.array(high, np.uint64)
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            key, d = _keys(flat.to_numpy(zero_copy_only=False).astype(np.float64)), np.tile(np.arange(dim), batch.num_rows)
+            ok = (key >= a[d]) & (key <= b[d]) & ~flat.is_null().to_numpy(zero_copy_only=False)
+            yield d[ok], key[ok]
+
+    while inside is None or (sum(inside) > few and low != high):
+        step = [-(-(h - x + 1) // bins) for x, h in zip(low, high)]
+
+        def count(batches):
+            a, w, n = np.array(low, np.uint64), np.array(step, np.uint64), np.zeros(dim * bins, np.int64)
+            for d, key in held(batches):
+                n += np.bincount(d * bins + ((key - a[d]) // w[d]).astype(np.int64), minlength=dim * bins)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+        n = np.zeros(dim * bins, np.int64)
+        for r in rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a bin and dimension at most
+            n[r["at"]] = r.n
+        n = n.reshape(dim, bins)
+        place = [int(x) // 2 for x in n.sum(1)] if place is None else place
+        inside = []
+        for i, sums in enumerate(n.cumsum(1)):
+            b = min(int(np.searchsorted(sums, place[i] - below[i], "right")), bins - 1)
+            below[i] += int(sums[b - 1]) if b else 0
+            low[i], high[i] = low[i] + b * step[i], min(high[i], low[i] + (b + 1) * step[i] - 1)
+            inside.append(int(n[i, b]))
+
+    if low == high:
+        return [_value(x) for x in low]
+
+    def values(batches):
+        for d, key in held(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(d.astype(np.int32)), pa.array(key.view(np.int64))], ["d", "key"])
+
+    left = rows.mapInArrow(values, "d int, key long").toPandas()  # `few` rows at most, or those of dimensions with one value
+    return [_value(int(np.sort(left["key"].to_numpy()[left["d"].to_numpy() == i].view(np.uint64))[place[i] - below[i]])) for i in range(dim)]
+
+
 def binary_thresholds(df: DataFrame, dim: int, vec: str = "vector") -> list[float]:
     """0.5 where all values are 0 or 1, else the median (the middle of the range where the median is an end of it)."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.exists(vec, lambda x: (x != 0) & (x != 1)), 1).otherwise(0)).alias("real")).first()
     if not row.n or not row.real:
         return [0.5] * dim
-    p = (row.n // 2 + 0.5) / row.n
-    cols = [F.percentile_approx(F.get(vec, F.lit(i)), p, 100_000).alias(f"m{i}") for i in range(dim)]
-    mid, (lo, hi) = df.agg(*cols).first(), bounds(df, vec)
-    return [float(m) if a < m < b else (a + b) / 2 for m, a, b in zip(mid, lo, hi)]
+    lo, hi = (x[:dim] for x in bounds(df, vec))
+    return [m if a < m < b else (a + b) / 2 for m, a, b in zip(middles(df, lo, hi, vec), lo, hi)]
 
 
 def binary_encode(vec: Column, thresholds: list[float]) -> Column:
